@@ -56,13 +56,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def steps(off: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `most` bytes each, but one row at least."""
+def steps(off: np.ndarray, most: int = STEP_BYTES, rows: int = 60_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `most` bytes and `rows` rows each, but one row at least."""
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, side="right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + rows)
+        yield lo, hi
+        lo = hi
 
 
 def mix(x: np.ndarray) -> np.ndarray:

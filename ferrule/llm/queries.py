@@ -7,38 +7,76 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_sort, language_id, quality, toxicity
+from . import bpe_files, decontaminate, hamming_topk, histogram_sort, language_id, ngram_jaccard, piece_sampling, quality, suffix_dedup, toxicity
 from .common import folded, labelled_sample, table
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), hamming_topk.sign_code(F.col("embedding")).alias("code"))
+    return hamming_topk.top_k(rows, rows.where(F.col("id") % 20 == 0), k=10)
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     texts, y = labelled_sample(docs, labels.where(folded("doc_id", 5) != 0), "toxic", toxicity.FIT_ROWS)
     return toxicity.score(docs, toxicity.fit(texts, y), ["doc_id", (folded("doc_id", 5) == 0).alias("held_out")])
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     texts, y = labelled_sample(docs, labels.where(folded("doc_id", 3) != 1), "quality", quality.FIT_ROWS)
     return quality.score(docs, quality.fit(texts, y), ["doc_id", (folded("doc_id", 3) == 1).alias("held_out")])
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
+
+
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = histogram_sort.histogram_shards(table(spark, sf_dir, "documents"), shards=40)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "size", F.crc32(text.cast("binary")).alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(folded("doc_id", 3) != 1))
     return language_id.predict(docs, model, ["doc_id", (folded("doc_id", 3) == 1).alias("held_out")])
 
 
+def op10_bpe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_files.encoded(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_topk": op1_hamming_topk,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
+    "op6_piece_sampling": op6_piece_sampling,
     "op7_histogram_sort": op7_histogram_sort,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
+    "op10_bpe_files": op10_bpe_files,
 }
 SQL: dict[str, str] = {}
