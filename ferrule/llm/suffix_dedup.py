@@ -192,14 +192,14 @@ def merge(a: Shard, b: Shard) -> tuple[Shard, np.ndarray]:
     virtual = np.concatenate([np.zeros(len(a.tail), bool), np.ones(len(b.tail), bool)])
     tails = np.concatenate([a.tail, b.tail])
     klass = np.zeros(len(from_b), np.int64)
-    old = None
-    for _ in range(PASSES):
+    for depth in range(PASSES):
         pulled = np.empty(len(from_b), a.before.dtype)
         pulled[~from_b], pulled[from_b] = a.before, b.before
         has = pulled >= 0
         block = np.concatenate([tails, pulled[has]])
         bit = np.concatenate([virtual, from_b[has]])
-        after = np.concatenate([np.full(len(tails), -1), klass[has]])
+        # one block is the same whether the text ends after it or not; more blocks are not
+        after = np.concatenate([np.full(len(tails), -1 if depth else 0), klass[has]])
         to = np.argsort(block, kind="stable")
         from_b, block, after = bit[to], block[to], after[to]
         klass = np.cumsum(np.concatenate([[0], (block[1:] != block[:-1]) | (after[1:] != after[:-1])]))
