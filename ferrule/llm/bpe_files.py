@@ -5,7 +5,7 @@ doc_ids a task; row groups and pages have set sizes, lists are dictionary encode
 column and page indexes let a reader fetch the metadata, or the tokens of a few doc_ids, without the rest.
 
 Texts are cut in pre-tokens by the vocabulary's own pattern, in numpy over code points, and only a step's distinct pre-tokens
-are given to the tokenizer, which treats pre-tokens independently: the ids are those of the whole text.
+that were not seen before are given to the tokenizer, which treats pre-tokens independently: the ids are those of the whole text.
 
 Cases: a null text is empty; each document gets end_id (also an empty one); equal doc_ids lie side by side in text order; null
 doc_ids come first; an empty table gives no rows; special tokens' strings in a text are ordinary text; extra columns are
@@ -33,14 +33,26 @@ def _tokenizer(path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # pretokens() has cut already
         _state[path] = t
     return _state[path]
 
 
+def _id_bytes(path: str) -> np.ndarray:
+    """Bytes of each id: in a byte-level vocabulary, the characters of its token."""
+    if f"bytes {path}" not in _state:
+        vocabulary = _tokenizer(path).get_vocab(with_added_tokens=False)
+        size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            size[i] = len(token)
+        _state[f"bytes {path}"] = size
+    return _state[f"bytes {path}"]
+
+
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """Of every code point: 0 other, 1 letter, 2 number, 3 white space; and a random 64-bit word."""
     if "classes" not in _state:
@@ -91,39 +103,69 @@ def pretokens(chars: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, np.searchsorted(off, at, side="right") - 1
 
 
-def encode(path: str, buf: np.ndarray, off: np.ndarray, end_id: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each row (UTF-8) with end_id after it: values and len + 1 offsets. cache: pre-token hash -> ids, kept by the caller."""
+class PretokenIds:
+    """Ids of pre-tokens by hash, in sorted arrays (about 20 bytes a pre-token); emptied beyond `most` pre-tokens."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.used = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 where unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        keys, first, size = np.concatenate([self.keys, keys]), np.concatenate([self.first, self.used + np.cumsum(size) - size]), np.concatenate([self.size, size.astype(np.int32)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.size = keys[order], first[order], size[order]
+        self.used += len(ids)
+
+
+def encode(path: str, buf: np.ndarray, off: np.ndarray, end_id: int, cache: PretokenIds) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each row (UTF-8) with end_id after it: values and len + 1 offsets. The cache is the caller's, to be kept."""
     rows = len(off) - 1
     text = buf.tobytes().decode("utf-8")
     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     char_off = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off]
     at, row = pretokens(chars, char_off)
     end = np.append(at[1:], len(chars)) if len(at) else at
-    h = spans_hash(_classes()[1][chars], at, end)
-    kinds, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-    keys = kinds.tolist()
-    todo = [j for j, k in enumerate(keys) if k not in cache]
-    if len(cache) + len(todo) > 250_000:
+    kinds, index, inverse = np.unique(spans_hash(_classes()[1][chars], at, end), return_index=True, return_inverse=True)
+    if len(cache.keys) + len(kinds) > cache.most:
         cache.clear()
-        todo = list(range(len(keys)))
-    given = [text[at[index[j]] : end[index[j]]] for j in todo]
-    for lo in range(0, len(given), 8192):
-        for j, e in zip(todo[lo : lo + 8192], _tokenizer(path).encode_batch_fast(given[lo : lo + 8192], add_special_tokens=False)):
-            cache[keys[j]] = np.array(e.ids, np.int32)
-    per = [cache[k] for k in keys]
-    size = np.array([len(x) for x in per], np.int64)
-    flat = np.concatenate([*per, np.array([end_id], np.int32)])
-    first = np.concatenate([[0], np.cumsum(size)])
-    # one pseudo pre-token (the end id) after each row's own
-    here = np.concatenate([inverse, np.full(rows, len(keys))])
-    place = np.concatenate([row, np.arange(rows)])
-    order = np.argsort(place, kind="stable")
-    here, place = here[order], place[order]
-    size = np.append(size, 1)
-    n = size[here]
-    to = np.concatenate([[0], np.cumsum(n)])
-    values = flat[np.repeat(first[here] - to[:-1], n) + np.arange(to[-1])]
-    return values, np.concatenate([[0], np.cumsum(np.bincount(place, weights=n, minlength=rows).astype(np.int64))])
+    new = np.flatnonzero(cache.find(kinds) < 0)
+    if len(new):
+        given = [text[a:b] for a, b in zip(at[index[new]].tolist(), end[index[new]].tolist())]
+        ids = np.array(_tokenizer(path).encode_batch_fast([given], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        # a byte-level id stands for a fixed number of bytes, which tells where each pre-token's ids end
+        done = np.searchsorted(np.cumsum(_id_bytes(path)[ids]), np.cumsum([len(w.encode()) for w in given]), side="right")
+        cache.add(kinds[new], np.diff(np.concatenate([[0], done])), ids)
+    place = cache.find(kinds)[inverse]
+    # the end id is one more pre-token after each row's own
+    per_row = np.bincount(row, minlength=rows)
+    n = cache.size[place].astype(np.int64)
+    here = np.concatenate([[0], np.cumsum(n)]) + 0
+    edge = np.concatenate([[0], np.cumsum(per_row)])
+    total = here[edge[1:]] - here[edge[:-1]] + 1
+    out_at = np.concatenate([[0], np.cumsum(total)])
+    values = np.empty(out_at[-1], np.int32)
+    values[out_at[1:] - 1] = end_id
+    own = np.ones(out_at[-1], bool)
+    own[out_at[1:] - 1] = False
+    values[own] = cache.flat[np.repeat(cache.first[place] - here[:-1], n) + np.arange(here[-1])]
+    return values, out_at
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2, encoding: str = "dictionary") -> None:
@@ -134,11 +176,11 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2, encoding: s
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
-        cache: dict = {}
+        cache = _state.setdefault(f"cache {path}", PretokenIds())  # a worker's, over its tasks
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             buf, off = buffers(batch.column(1))
-            for lo, hi in steps(off, 1 << 20):
+            for lo, hi in steps(off):
                 values, at = encode(path, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], end_id, cache)
                 ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, part, np.int32)), pa.array(np.arange(place, place + hi - lo)), batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), ids], ["part", "place", "doc_id", "n_tokens", "ids"])
