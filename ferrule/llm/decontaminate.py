@@ -3,17 +3,23 @@
 Texts and benchmark items become lower-case words (runs of letters and digits). Each fixed mask looks at 8 consecutive words
 and ignores some of them, so a substituted word inside a passage leaves other hashes intact. Training hashes meet the
 benchmark's hashes in a broadcast join in the same stage as the scan (no shuffle of the corpus; the benchmark's rows are counted first, and
-beyond a bound the join shuffles instead). Around a hit, text and item are laid side by side on the hit's diagonal, and
-the hit counts if some stretch of 13 aligned words (the whole item, if it is shorter) that holds the hit has at most 2 substitutions.
+beyond a bound the join shuffles instead). Text and item are then laid side by side on the hit's diagonal, and
+the pair counts if some stretch of 13 aligned words (the whole item, if it is shorter) has at most 2 substitutions. Words are compared by 64-bit
+hashes.
 
 Cases: null and empty texts and items never hit, nor do items of fewer words than a mask spans (8); repeated rows get equal results; an empty benchmark clears every row; extra columns pass by.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Fixed masks over 8 words: 1 is looked at, 0 is ignored.
 MASKS = ("11011011", "10111101")
 SPAN = 8
@@ -22,47 +28,72 @@ BROADCAST_ROWS = 250_000
 
 
 def word_list(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _hash(words: Column, i: Column, mask: str) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(words, i + j) for j, c in enumerate(mask) if c == "1"])
+def word_hashes(text: Column) -> Column:
+    return F.transform(word_list(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(words: Column) -> Column:
-    """Hashes of the first mask at every place where it fits, then those of the next: entry i is of place i % (size - SPAN + 1)."""
-    places = F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN)).otherwise(F.array().cast("array<int>"))
-    of = lambda mask: lambda i: _hash(words, i, mask)
-    return F.concat(*[F.transform(places, of(mask)) for mask in MASKS])
+def _places(words: Column) -> Column:
+    """Array of structs (w0 .. w7), the words at each place and after it; only whole ones count. Built of shifted copies, so that hashing is
+    left to compiled code after the array is exploded."""
+    return F.arrays_zip(*[F.slice(words, j + 1, F.greatest(F.size(words) - j, F.lit(0))).alias(f"w{j}") for j in range(SPAN)])
 
 
-def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """(hash, place, item_id, item words) of the benchmark. Repeated hashes of one item and place are one row."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_list(F.col("text")).alias("item")).where(F.size("item") >= SPAN)
-    items = items.select("item_id", "item", F.posexplode(_seeds(F.col("item"))).alias("i", "hash"))
-    return items.select("item_id", "item", (F.col("i") % (F.size("item") - (SPAN - 1))).alias("place"), "hash").dropDuplicates(["item_id", "place", "hash"])
+def _hash(row: str, mask: str) -> Column:
+    return F.xxhash64(*[F.col(f"{row}.w{j}") for j, c in enumerate(mask) if c == "1"])
 
 
-def _verified(words: Column, at: Column, item: Column, place: Column) -> Column:
-    """Whether a stretch of min(STRETCH, size of item) words around the hit, on its diagonal, has at most MISSES substitutions. Misses are counted for
-    all stretches that hold the hit's span."""
-    n = F.least(F.lit(STRETCH), F.size(item))
-    first, last = F.greatest(F.lit(0), place + SPAN - n), F.least(place, F.size(item) - n)
-    miss = lambda a: F.aggregate(F.sequence(a, a + n - 1), F.lit(0), lambda s, k: s + F.when(F.get(words, at - place + k).eqNullSafe(F.get(item, k)), 0).otherwise(1))
-    return F.exists(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda a: miss(a) <= MISSES)
+#: Words that every mask looks at: the join's key; each mask's own hash is compared in the same join.
+COMMON = "".join("1" if all(m[j] == "1" for m in MASKS) else "0" for j in range(SPAN))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """keep's columns, item_id and the matched word place for each verified hit (a passage has several)."""
-    seeds = item_seeds(benchmark)
-    if seeds.count() <= BROADCAST_ROWS:
-        seeds = F.broadcast(seeds)
-    given = docs.select(*keep, word_list(F.col("text")).alias("words"))
-    probes = given.select(*keep, "words", F.posexplode(_seeds(F.col("words"))).alias("i", "hash"))
-    met = probes.join(seeds, "hash").withColumn("at", F.col("i") % (F.size("words") - (SPAN - 1))).where(_verified(F.col("words"), F.col("at"), F.col("item"), F.col("place")))
-    return met.select(*keep, "item_id", F.col("at"), F.size("item").alias("item_words"))
+def _seeds(rows: DataFrame, keep: list[str], words: Column, place: str) -> DataFrame:
+    """keep's columns, the place, `common`, and each mask's hash, for every place where the masks fit. The texts' words don't go with them: rows
+    that carried them would grow with the square of a text. The outer form keeps the optimizer from testing the array's size beforehand, which
+    would hash every text twice."""
+    at = rows.select(*keep, F.posexplode_outer(_places(words)).alias(place, "s"))
+    return at.select(*keep, place, _hash("s", COMMON).alias("common"), *[_hash("s", m).alias(f"seed{i}") for i, m in enumerate(MASKS)], (F.col("s").isNotNull() & F.col("s.w7").isNotNull()).alias("fits"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, item_id, n_hits, first_word): one row per pair of document and benchmark item that overlap."""
-    return hits(docs, benchmark, [key]).groupBy(key, "item_id").agg(F.count("*").alias("n_hits"), F.min("at").cast("long").alias("first_word"))
+def item_seeds(benchmark: DataFrame) -> DataFrame:
+    """(common, item_seed0, item_seed1, item_place, item_id) of the benchmark."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("item"))
+    rows = _seeds(items, ["item_id"], F.col("item"), "item_place").where("fits").drop("fits")
+    return rows.withColumnsRenamed({f"seed{i}": f"item_seed{i}" for i in range(len(MASKS))}).distinct()
+
+
+def _misses(words: Column, item: Column, diagonal: Column) -> Column:
+    """The fewest substitutions in a stretch of min(STRETCH, item's words) of the item, laid on the text so that item word k meets word
+    diagonal + k; stretches lie inside the item."""
+    n = F.least(F.lit(STRETCH), F.size(item))
+    off = F.transform(F.sequence(F.lit(0), F.size(item) - 1), lambda k: F.when(diagonal + k < 0, 1).when(F.get(words, F.greatest(diagonal + k, F.lit(0))).eqNullSafe(F.get(item, k)), 0).otherwise(1))
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.size(item) - n), lambda a: F.aggregate(F.slice(off, a + 1, n), F.lit(0), lambda s, x: s + x)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+    """keep's columns with (item_id, first_word, misses): a row for each document row and benchmark item that overlap. What hits is one row
+    for each text, item and diagonal; the words of those texts alone are cut again for the check."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(*keep, text.alias("__text"), F.xxhash64(text).alias("__k"), F.octet_length(text).alias("__n"))
+    seeds = materialize(item_seeds(benchmark), "seeds")
+    few = seeds.count() <= BROADCAST_ROWS
+    spread = _seeds(keyed.select("__k", "__n", word_hashes(F.col("__text")).alias("w")), ["__k", "__n"], F.col("w"), "at")
+    same = [F.col(f"seed{i}") == F.col(f"item_seed{i}") for i in range(len(MASKS))]
+    met = spread.join(F.broadcast(seeds) if few else seeds, "common").where(F.col("fits") & reduce(or_, same))
+    hits = met.groupBy("__k", "__n", "item_id", (F.col("at") - F.col("item_place")).alias("diagonal")).agg(F.min("at").cast("long").alias("first_word"))
+    hits = materialize(hits, "hits")
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("item"))
+    hits = hits.join(F.broadcast(items) if few else items, "item_id")
+    texts = keyed.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, ["__k", "__n"])
+    # written first: a word list inlined in a lambda would be cut anew for every word
+    laid = materialize(texts.select(*keep, "item_id", "item", "diagonal", "first_word", word_hashes(F.col("__text")).alias("words")), "laid")
+    best = laid.withColumn("misses", _misses(F.col("words"), F.col("item"), F.col("diagonal"))).where(F.col("misses") <= MISSES)
+    return best.select(*keep, "item_id", "first_word", F.col("misses").cast("long").alias("misses"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, first_word, misses): a row for each doc_id and item, of its best diagonal."""
+    rows = contaminated(docs, benchmark, ["doc_id"])
+    return rows.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.min("misses").alias("misses"))
