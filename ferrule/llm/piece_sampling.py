@@ -68,11 +68,11 @@ class Vocabulary:
             ends[at] = i
         self.piece = np.array(ends, np.int32)
         inner = [j for j, kids in enumerate(nodes) if kids]
-        self.row = np.full(len(nodes), -1, np.int32)
-        self.row[inner] = np.arange(len(inner))
-        self.child = np.full((len(inner), 256), -1, np.int32)
+        self.row = np.full(len(nodes), -1, np.int32)  # where an inner node's row of children starts
+        self.row[inner] = np.arange(len(inner)) * 256
+        self.child = np.full(len(inner) * 256, -1, np.int32)
         for r, j in enumerate(inner):
-            self.child[r, list(nodes[j])] = list(nodes[j].values())
+            self.child[r * 256 + np.array(list(nodes[j]))] = list(nodes[j].values())
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
@@ -84,55 +84,59 @@ class Vocabulary:
         return _models[path]
 
     def lattice(self, buf: np.ndarray, off: np.ndarray):
-        """Edges of segments (node i of segment s is off[s] + s + i) sorted by the place of their end node: source node, piece, and the
-        cumulated share of an edge among its end node's, each node's shifted by its rank; and the nodes' ranks."""
+        """Lattices of segments, longest first. Node i of segment s is off[s] + s + i. Edges are sorted by end node, then by length, so their
+        order doesn't depend on the other segments: source node, piece, and the edge's share of its end node's weight summed up over the node's
+        edges so far, plus the node's number."""
         n, segs = len(buf), len(off) - 1
-        seg = np.repeat(np.arange(segs), np.diff(off))
-        stop = off[1:][seg]
-        start, state = np.arange(n), np.zeros(n, np.int32)
-        src, dst, ids = [start + seg], [start + seg + 1], [self.byte_ids[buf]]
+        size = np.diff(off)
+        seg = np.repeat(np.arange(segs, dtype=np.int32), size)
+        stop = off[1:].astype(np.int32)[seg]
+        start = np.arange(n, dtype=np.int32)
+        base = np.zeros(n, np.int32)
+        # (end node, length, 1 for a byte piece) is one number and no two edges share it
+        keys, ids = [(start.astype(np.int64) + seg + 1) << 8 | 3], [self.byte_ids[buf]]
         at = start
         while len(start):
-            nxt = self.child[self.row[state], buf[at]]
-            ok = nxt >= 0
-            start, state, at = start[ok], nxt[ok], at[ok] + 1
-            hit = self.piece[state] >= 0
-            src.append(start[hit] + seg[start[hit]])
-            dst.append(at[hit] + seg[start[hit]])
-            ids.append(self.piece[state[hit]])
-            go = (at < stop[start]) & (self.row[state] >= 0)
-            start, state, at = start[go], state[go], at[go]
-        w = np.concatenate([np.full(n, self.floor), *(self.logw[x] for x in ids[1:])])
-        src, dst, ids = np.concatenate(src), np.concatenate(dst), np.concatenate(ids)
-        node_seg = np.repeat(np.arange(segs), np.diff(off) + 1)
-        rel = np.arange(n + segs) - (off[:-1] + np.arange(segs))[node_seg]
-        order = np.lexsort((dst, rel[dst]))
-        src, dst, ids, w = src[order], dst[order], ids[order], w[order]
-        new = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if n else np.zeros(0, np.int64)
-        level = rel[dst[new]]
-        bounds = np.searchsorted(level, np.arange(1, (level[-1] if len(level) else 0) + 2))
-        alpha = np.zeros(n + segs)
-        share = np.empty(len(src))
-        edge = np.append(new, len(src))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            lo, hi = edge[a], edge[b]
-            x = alpha[src[lo:hi]] + w[lo:hi]
-            cut = edge[a:b] - lo
-            per = np.diff(np.append(cut, hi - lo))
+            state = self.child.take(base + buf.take(at))
+            ok = np.flatnonzero(state >= 0)
+            start, state, at = start.take(ok), state.take(ok), at.take(ok) + np.int32(1)
+            piece = self.piece.take(state)
+            hit = np.flatnonzero(piece >= 0)
+            own, end = start.take(hit), at.take(hit)
+            keys.append((end.astype(np.int64) + seg.take(own)) << 8 | (end - own) << 1)
+            ids.append(piece.take(hit))
+            base = self.row.take(state)
+            go = np.flatnonzero((at < stop.take(start)) & (base >= 0))
+            start, base, at = start.take(go), base.take(go), at.take(go)
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        key = key.take(order)
+        ids = np.concatenate(ids).take(order)
+        w = np.where(key & 1, self.floor, self.logw.take(ids))
+        dst = (key >> 8).astype(np.int32)
+        src = dst - ((key & 255) >> 1).astype(np.int32)
+        first = np.searchsorted(dst, np.arange(n + segs + 1, dtype=np.int32))
+        alpha, share = np.zeros(n + segs), np.empty(len(src))
+        root = off[:-1] + np.arange(segs)
+        alive = np.searchsorted(-size, -np.arange(1, (size[0] if segs else 0) + 1), side="right")
+        for level, m in enumerate(alive.tolist(), 1):
+            node = root[:m] + level
+            per = first[node + 1] - first[node]
+            cut = np.cumsum(per) - per
+            e = np.repeat(first[node] - cut, per) + np.arange(cut[-1] + per[-1])
+            x = alpha.take(src.take(e)) + w.take(e)
             top = np.maximum.reduceat(x, cut)
-            e = np.exp(x - np.repeat(top, per))
-            total = np.add.reduceat(e, cut)
-            alpha[dst[new[a:b]]] = top + np.log(total)
-            share[lo:hi] = e / np.repeat(total, per)
-        rank = np.full(n + segs, -1)
-        rank[dst[new]] = np.arange(len(new))
-        # cumulated shares, each node's shifted by its rank: one sorted array for all draws
+            x = np.exp(x - np.repeat(top, per))
+            total = np.add.reduceat(x, cut)
+            alpha[node] = top + np.log(total)
+            share[e] = x / np.repeat(total, per)
+        # shares summed over the nodes' edges: a node's sum ends at exactly its number + 1
         run = np.cumsum(share)
-        base = np.concatenate([[0], run])[new]
-        cum = run - np.repeat(base, np.diff(edge)) + np.repeat(np.arange(len(new)), np.diff(edge))
-        if len(new):
-            cum[edge[1:] - 1] = np.arange(1, len(new) + 1)
-        return src, ids, cum, rank
+        lead = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if n else np.zeros(0, np.int64)
+        per = np.diff(np.append(lead, len(dst)))
+        cum = run - np.repeat(run[lead] - share[lead], per) + dst
+        cum[lead + per - 1] = dst[lead] + 1.0
+        return src, ids, cum
 
     def sample(self, buf: np.ndarray, off: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of rows, and len + 1 offsets. keys: a 64-bit word of each row."""
@@ -148,25 +152,29 @@ class Vocabulary:
         row = np.searchsorted(off, start, side="right") - 1
         _, index, kind = np.unique(spans_hash(_LUT[buf], start, end), return_index=True, return_inverse=True)
         size = (end - start)[index]
+        longest = np.argsort(-size, kind="stable")
+        place = np.empty(len(size), np.int64)
+        place[longest] = np.arange(len(size))
+        index, size, kind = index[longest], size[longest], place[kind]
         seg_off = np.concatenate([[0], np.cumsum(size)])
         seg_buf = buf[np.repeat(start[index] - seg_off[:-1], size) + np.arange(seg_off[-1])]
-        src, ids, cum, rank = self.lattice(seg_buf, seg_off)
+        src, ids, cum = self.lattice(seg_buf, seg_off)
         first_of_row = np.searchsorted(row, np.arange(rows))
         ordinal = (np.arange(len(row)) - first_of_row[row]).astype(np.uint64)
         stream = mix(keys[row] + np.uint64(seed)) + ordinal * np.uint64(0x9E3779B97F4A7C15)
         root = seg_off[:-1] + np.arange(len(size))
-        occ = np.arange(len(row))
-        node = (root + size)[kind]
+        occ = np.argsort(kind, kind="stable")  # equal segments side by side: draws look up neighbouring edges
+        node = (root + size)[kind[occ]]
         root = root[kind]
         drawn, who = [], []
         k = 0
         while len(occ):
             u = (mix(stream[occ] + np.uint64(k * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(cum, rank[node] + u, side="right")
+            e = np.searchsorted(cum, node + u, side="right")
             drawn.append(ids[e])
             who.append(occ)
             node = src[e]
-            go = node > root[occ]
+            go = np.flatnonzero(node > root[occ])
             occ, node, k = occ[go], node[go], k + 1
         count = np.zeros(len(row), np.int64)
         for o in who:
@@ -197,7 +205,7 @@ def encode(docs: DataFrame, path: str, keep: list[str | Column], key: Column | N
         for batch in batches:
             k = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             buf, off = buffers(batch.column(batch.num_columns - 1))
-            for lo, hi in steps(off, 1 << 20):
+            for lo, hi in steps(off, 3 << 20):
                 part = buf[off[lo] : off[hi]]
                 ids, at = vocabulary.sample(part, off[lo : hi + 1] - off[lo], k[lo:hi], seed)
                 back, back_at = vocabulary.decode(ids, at)
