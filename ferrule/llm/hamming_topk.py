@@ -46,17 +46,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     codes = members.select("code").distinct()
     index = materialize(codes.select("code", F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(SEGMENTS)])).alias("seg", "value")), "index")
     masks = spark.range(1 << WIDTH).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("d"))  # 65,536 rows
-    asked = materialize(queries.select(F.col("code").alias("q")).distinct(), "asked")
+    asked = materialize(queries.select(F.col("code").alias("q"), F.lit(SEGMENTS * WIDTH).alias("limit")).distinct(), "asked")
     best, found = None, []
     for radius in range(WIDTH + 1):
-        probes = asked.select("q", F.posexplode(F.array(*[_segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("seg", "own"))
+        probes = asked.select("q", "limit", F.posexplode(F.array(*[_segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("seg", "own"))
         probes = probes.join(F.broadcast(masks.where(F.col("d") == radius)), how="cross") if radius else probes.withColumn("mask", F.lit(0))
-        probes = probes.select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = probes.select("q", "limit", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         pairs = probes.join(index, ["seg", "value"])
         apart = [_distance(_segment(F.col("q"), s), _segment(F.col("code"), s)) for s in range(SEGMENTS)]
         # in the first of the segments at this radius, and none is nearer
         for s in range(SEGMENTS):
             pairs = pairs.where((apart[s] > radius) | ((apart[s] == radius) & (F.col("seg") <= s)))
+        # what is farther than the k + 1 best so far can't be among them
+        pairs = pairs.where(_distance(F.col("q"), F.col("code")) <= F.col("limit"))
         met = pairs.select("q", "code", _distance(F.col("q"), F.col("code")).alias("distance")).join(members, "code").select("q", "id", "distance")
         nearest = Window.partitionBy("q").orderBy("distance", "id")
         best = (met if best is None else met.unionByName(best)).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).drop("r")
@@ -67,7 +69,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             found.append(best)
             break
         found.append(best.join(done, "q", "left_semi"))
-        asked = materialize(asked.join(done, "q", "left_anti"), "asked")
+        worst = best.groupBy("q").agg(F.max("distance").alias("far"), F.count("*").alias("n")).where(F.col("n") >= k + 1)
+        asked = asked.join(done, "q", "left_anti").join(worst, "q", "left")
+        asked = materialize(asked.select("q", F.coalesce("far", "limit").alias("limit")), "asked")
         best = best.join(done, "q", "left_anti")
         if asked.isEmpty():
             break
