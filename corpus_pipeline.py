@@ -50,9 +50,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark. They are told by their text, so ids may be null or repeated."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(*COLUMNS).withColumns({"__k": F.xxhash64(text), "__n": F.octet_length(text)}).withColumn("__key", F.struct("__k", "__n"))
-    hit = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), "__key").select("__key.__k", "__key.__n").distinct()
-    return _without(keyed, hit, ["__k", "__n"]).select(*COLUMNS)
+    keyed = docs.select(*COLUMNS).withColumns({"__h": F.xxhash64(text), "__m": F.octet_length(text)})
+    hit = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), ["__h", "__m"]).select("__h", "__m").distinct()
+    return _without(keyed, hit, ["__h", "__m"]).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
