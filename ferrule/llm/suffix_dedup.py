@@ -33,8 +33,6 @@ from .common import _LUT, buffers, materialize, mix, partitions, spans_hash, ste
 WINDOW, GRAM, BLOCK = 200, 64, 40
 PASSES = WINDOW // BLOCK
 STEP, UNIT = 1 << 20, 1 << 20
-#: Bytes of per-text results that may be broadcast; beyond it texts are shuffled to them.
-BROADCAST_BYTES = 48 << 20
 #: Bits of an anchor's comparison key that hold its place: texts and steps up to 256 MB.
 _POSITION = 28
 
@@ -303,11 +301,10 @@ def _emit(batches):
                 rows = []
 
 
-def _joined(docs: DataFrame, small: DataFrame, weight: str, how: str) -> DataFrame:
-    """Texts with their rows of small (k1, k2, ...); small is broadcast only if its counted bytes are below BROADCAST_BYTES."""
-    n, size = small.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(weight)), F.lit(0))).first()
-    small = small.withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
-    return docs.join(F.broadcast(small) if 64 * n + size <= BROADCAST_BYTES else small, ["__k1", "__k2"], how)
+def _joined(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
+    """Texts with their rows of small (k1, k2, ...). What small holds grows with the corpus, so it is never broadcast by hand: both sides are dealt by the
+    text's hashes, at any size."""
+    return docs.join(small.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}).hint("merge"), ["__k1", "__k2"], how)
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
@@ -317,7 +314,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     # equal texts answer alike: one row each
     seen = materialize(seen.groupBy("k1", "k2").agg(F.min(F.struct("full", "emit")).alias("x")).select("k1", "k2", "x.full", "x.emit"), "seen")
     mixed = seen.where(F.octet_length("emit") > 0).select("k1", "k2", "emit")
-    rows = _joined(given.select("__k1", "__k2", "text"), mixed, "emit", "inner").select("__k1", "__k2", "text", "emit").mapInArrow(_emit, "anchor long, k1 long, k2 long, first int, count int, several int, bytes binary")
+    rows = _joined(given.select("__k1", "__k2", "text"), mixed, "inner").select("__k1", "__k2", "text", "emit").mapInArrow(_emit, "anchor long, k1 long, k2 long, first int, count int, several int, bytes binary")
     rows = rows.repartition(partitions(keyed.sparkSession), "anchor").sortWithinPartitions("anchor")
     part = rows.mapInArrow(_solve, "k1 long, k2 long, spans binary")
     both = seen.where(F.octet_length("full") > 0).select("k1", "k2", F.col("full").alias("spans")).unionByName(part)
@@ -345,7 +342,7 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     shrink to whole UTF-8 characters, so that kept is text again."""
     keyed = _keyed(docs)
     spans = repeated_spans(keyed)
-    given = _joined(keyed, spans, "spans", "left")
+    given = _joined(keyed, spans, "left")
     own = [f for f in docs.schema if f.name not in ("text", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
     cols = [f"`{f.name}`" for f in own]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
