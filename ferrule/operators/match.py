@@ -35,12 +35,10 @@ def covering(have: DataFrame, need: DataFrame, key: str, item: str) -> DataFrame
 def resolve_alias(calls: DataFrame, aliases: DataFrame, file: str, symbol: str) -> DataFrame:
     """calls with `resolved`: the alias target of the symbol, else of its head with the rest kept, else the symbol."""
     head = F.substring_index(F.col(symbol), ".", 1)
-    a = aliases.select(F.col(file), F.col("alias").alias("__a1"), F.col("target").alias("__t1"))
-    b = aliases.select(F.col(file), F.col("alias").alias("__a2"), F.col("target").alias("__t2"))
-    got = calls.join(a, (calls[file] == a[file]) & (calls[symbol] == F.col("__a1")), "left").drop(a[file])
-    got = got.join(b, (calls[file] == b[file]) & (head == F.col("__a2")), "left").drop(b[file])
-    rest = F.expr(f"substring({symbol}, length(__a2) + 1)")
-    return got.withColumn("resolved", F.coalesce("__t1", F.concat("__t2", rest), symbol)).drop("__a1", "__t1", "__a2", "__t2")
+    pair = lambda i: aliases.select(F.col(file).alias(f"__f{i}"), F.col("alias").alias(f"__a{i}"), F.col("target").alias(f"__t{i}"))
+    got = calls.join(pair(1), (F.col(file) == F.col("__f1")) & (F.col(symbol) == F.col("__a1")), "left").join(pair(2), (F.col(file) == F.col("__f2")) & (head == F.col("__a2")), "left")
+    rest = F.substring(F.col(symbol), F.length("__a2") + 1, F.length(symbol))
+    return got.withColumn("resolved", F.coalesce("__t1", F.concat("__t2", rest), symbol)).drop(*[f"__{c}{i}" for c in "fat" for i in (1, 2)])
 
 
 def merge_kb(apis: DataFrame, profiles: DataFrame, aliases: DataFrame, profile: str, classified: Column, placeholder: str = "ALG.DYNAMIC") -> DataFrame:
