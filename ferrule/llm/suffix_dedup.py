@@ -342,7 +342,7 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     shrink to whole UTF-8 characters, so that kept is text again."""
     keyed = _keyed(docs)
     spans = repeated_spans(keyed)
-    given = _joined(keyed, spans, "left")
+    given = _joined(keyed, spans.withColumnRenamed("spans", "__spans"), "left")
     own = [f for f in docs.schema if f.name not in ("text", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
     cols = [f"`{f.name}`" for f in own]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -375,4 +375,4 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
             x = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(v, kind) for v, kind in zip(x, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], [*(f.name for f in own), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return given.select("text", "spans", *cols).mapInArrow(run, schema)
+    return given.select("text", "__spans", *cols).mapInArrow(run, schema)
