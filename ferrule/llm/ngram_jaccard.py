@@ -9,9 +9,9 @@ A document's set is its distinct 5-word shingles. Documents link at Jaccard >= 0
    bucket answers each step with counts of unique shingles.
 2. Equal sets are one class from here on. Step 1 is repeated among class representatives.
 3. The shingles of what is left are ordered by a fixed-size table of counts (rare first), and a set's first n - ceil(0.75 n) + 1
-   are its prefix: linked sets share a prefix shingle. Chains along shared rare shingles are verified first and make most
-   components; after that only pairs from different components matter.
-4. In each group of a shared shingle, group counts (shingle hashes fall into 128 groups) are points of a bulk-loaded R-tree. The sum of the
+   are its prefix: linked sets share a prefix shingle. In three rounds each set's likeliest partner (by the bound of step 4) is
+   verified, which makes most components; after that only pairs from different components matter.
+4. In each group of a shared shingle, group counts (shingle hashes fall into 512 groups) are points of a bulk-loaded R-tree. The sum of the
    coordinates' minima bounds the overlap of a query with a node and with a point; what survives is verified on the full sets.
 
 Shingles and sets are known by 64-bit hashes. Cases: null or empty texts and texts without words have an empty set, size 0,
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import buffers, components, materialize, mix, partitions, shingle_sets, steps
 
 NUMERATOR, DENOMINATOR = 75, 100
-GROUPS, LEAF, SLOTS = 128, 32, 1 << 20
+GROUPS, LEAF, SLOTS = 512, 32, 1 << 20
+#: Of each group's sets, so many neighbours by size are looked at for a set's likeliest partner, and that along the first so many prefix shingles.
+NEAR, RANKS = 32, (2, 4, 8)
 #: Rows of two numbers that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
 _MANY = 0xFFFF
@@ -208,13 +210,46 @@ def _near(n1, n2):
     return DENOMINATOR * np.minimum(n1, n2) >= NUMERATOR * np.maximum(n1, n2)
 
 
-def _chains(tok, t):
-    """Pairs of neighbours by size in each group, of different components."""
+def group_counts(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Shingles of each set in each group, one byte each; 255 stands for any larger number."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    c = np.bincount(row * GROUPS + (tok >> np.uint64(55)).astype(np.int64), minlength=(len(at) - 1) * GROUPS)
+    return np.minimum(c, 255).astype(np.uint8).reshape(-1, GROUPS)
+
+
+def _points(column) -> np.ndarray:
+    """Counts as numbers in which 255 is larger than any: a minimum with it never bounds too low."""
+    buf, _ = buffers(column)
+    c = buf.reshape(-1, GROUPS).astype(np.uint16)
+    c[c == 255] = 60_000
+    return c
+
+
+def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(-1, dtype=np.int64)
+
+
+def _nearest(tok, t):
+    """(a, b, likeness) of each set's likeliest partner of another component in each group, among its neighbours by size."""
     fp, n, c = (t[x].to_numpy() for x in ("fp", "n", "component"))
-    ok = (tok[1:] == tok[:-1]) & (c[1:] != c[:-1]) & _near(n[1:], n[:-1])
-    a, b = np.minimum(fp[1:], fp[:-1])[ok], np.maximum(fp[1:], fp[:-1])[ok]
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    points = _points(t["counts"])
+    best, with_ = np.zeros(len(fp)), np.full(len(fp), -1)
+    for d in range(1, NEAR + 1):
+        i = np.flatnonzero((tok[d:] == tok[:-d]) & (c[d:] != c[:-d]) & _near(n[d:], n[:-d])) if len(tok) > d else np.zeros(0, np.int64)
+        if not len(i):
+            if len(tok) <= d or not (tok[d:] == tok[:-d]).any():
+                break
+            continue
+        for lo in range(0, len(i), 4096):
+            x = i[lo : lo + 4096]
+            both = _bound(points[x], points[x + d])
+            like = both / (n[x] + n[x + d])
+            for own, other in ((x, x + d), (x + d, x)):
+                more = like > best[own]
+                best[own[more]], with_[own[more]] = like[more], other[more]
+    hit = np.flatnonzero(best * (NUMERATOR + DENOMINATOR) >= NUMERATOR)
+    if len(hit):
+        yield pa.RecordBatch.from_arrays([pa.array(fp[hit]), pa.array(fp[with_[hit]]), pa.array(best[hit])], ["a", "b", "likeness"])
 
 
 class CountRTree:
@@ -232,45 +267,47 @@ class CountRTree:
         leaves = np.flatnonzero((self.edge[1:] > i + 1) & (NUMERATOR * self.low_n <= DENOMINATOR * n))
         if not len(leaves):
             return leaves
-        bound = np.minimum(q, self.high[leaves]).sum(1)
+        bound = _bound(q, self.high[leaves])
         need = NUMERATOR * (n + np.maximum(self.low_n[leaves], n))
         leaves = leaves[(NUMERATOR + DENOMINATOR) * bound >= need]
         if not len(leaves):
             return leaves
         at = np.concatenate([np.arange(max(self.edge[k], i + 1), self.edge[k + 1]) for k in leaves])
         at = at[_near(self.n[at], n)]
-        bound = np.minimum(q, self.counts[at]).sum(1)
+        bound = _bound(q, self.counts[at])
         return at[(NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n + self.n[at])]
 
 
 def _crossing(tok, t):
-    """Pairs from different components in each group that the R-tree leaves."""
-    fp, n, c = (t[x].to_numpy() for x in ("fp", "n", "component"))
-    buf, _ = buffers(t["counts"])
-    counts = buf.view(np.uint32).reshape(-1, GROUPS)
+    """Pairs from different components in each group that the R-tree leaves. The first shingle that two linked sets share comes early in both: at
+    most n - overlap shingles are before it, so later ones needn't name the pair again."""
+    fp, n, c, rank = (t[x].to_numpy() for x in ("fp", "n", "component", "rank"))
+    points = _points(t["counts"])
     a, b = [], []
     for lo, size in zip(*_runs(tok)):
         own = slice(lo, lo + size)
         if (c[own] == c[lo]).all():
             continue
-        tree = CountRTree(counts[own].astype(np.int64), n[own])
+        tree = CountRTree(points[own], n[own])
         for i in range(size - 1):
             at = lo + tree.query(i)
             at = at[c[at] != c[lo + i]]
+            least = -(-NUMERATOR * (n[lo + i] + n[at]) // (NUMERATOR + DENOMINATOR))
+            at = at[(rank[lo + i] <= n[lo + i] - least) & (rank[at] <= n[at] - least)]
             a.append(np.full(len(at), fp[lo + i]))
             b.append(fp[at])
     if a:
         a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _counts(sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo, hi, tok, at in _sets_of_blob(batch.column(1)):
-                row = np.repeat(np.arange(hi - lo), np.diff(at))
-                c = np.bincount(row * GROUPS + (tok >> np.uint64(57)).astype(np.int64), minlength=(hi - lo) * GROUPS).astype(np.uint32).reshape(hi - lo, GROUPS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in c], pa.binary())], ["fp", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in group_counts(tok, at)], pa.binary())], ["fp", "counts"])
 
     return sets.select("fp", "toks").mapInArrow(run, "fp long, counts binary")
 
@@ -299,19 +336,21 @@ def _links(sets: DataFrame) -> DataFrame:
     shared = materialize(_by_token(_prefixes(sets, _count_table(sets)), _shared, "tok long, rank int, fp long, n long"), "shared")
     spark = sets.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
+    counts = materialize(_counts(sets.join(shared.select("fp").distinct(), "fp", "left_semi")), "counts")
     named = shared.withColumn("component", F.col("fp"))
-    for rank in (2, 6):
-        # a forest: each set's link to its smallest neighbour along its rarest shared shingles
-        chain = _by_token(named.where(F.col("rank") < rank).select("tok", "fp", "n", "component"), _chains, "a long, b long")
-        forest = chain.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        """Rows of the groups in which components meet, with their points."""
+        mixed = rows.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
+        rows = materialize(rows.join(mixed, "tok", "left_semi").select("tok", "rank", "fp", "n", "component"), "rest")
+        return rows.join(counts, "fp")
+
+    for rank in RANKS:
+        likely = _by_token(meeting(named.where(F.col("rank") < rank)), _nearest, "a long, b long, likeness double")
+        forest = likely.groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
         edges = materialize(edges.unionByName(_verify(forest, sets)), "edges")
         named = shared.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    # groups in which components meet
-    mixed = named.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
-    rest = named.join(mixed, "tok", "left_semi").select("tok", "fp", "n", "component")
-    rest = materialize(rest, "rest")
-    counts = _counts(sets.join(rest.select("fp").distinct(), "fp", "left_semi"))
-    pairs = _by_token(rest.join(counts, "fp"), _crossing, "a long, b long").distinct()
+    pairs = _by_token(meeting(named), _crossing, "a long, b long").distinct()
     return edges.unionByName(_verify(materialize(pairs, "pairs"), sets))
 
 

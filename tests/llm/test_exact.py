@@ -50,9 +50,9 @@ def test_tree_bound_keeps_every_link():
         keep = base[rng.random(400) < 0.5] if rng.random() < 0.5 else base[rng.random(400) < 0.93]
         sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(1, 40), dtype=np.uint64)])))
     sets.sort(key=len)
-    counts = np.stack([np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=ngram_jaccard.GROUPS) for s in sets])
     n = np.array([len(s) for s in sets])
-    tree = ngram_jaccard.CountRTree(counts, n)
+    counts = ngram_jaccard.group_counts(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+    tree = ngram_jaccard.CountRTree(counts.astype(np.uint16), n)
     linked = 0
     for i in range(len(sets)):
         left = set(tree.query(i).tolist())
