@@ -79,4 +79,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_bpe_files": op10_bpe_files,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array({}, '{}'), lambda x: x <> '')"
+_PLACES = "unnest(range(greatest(len(w) - 7, 0))) AS p"
+_KEYS = ", ".join("concat_ws(' ', " + ", ".join(f"w[p + {j + 1}]" for j, c in enumerate(mask) if c == "1") + f") AS k{i}" for i, mask in enumerate(decontaminate.MASKS))
+
+SQL: dict[str, str] = {
+    "op1_hamming_topk": """WITH c AS (SELECT vec_id, [x > 0 FOR x IN embedding[1:64]] AS s FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_sum([(a.s[i] <> b.s[i])::INT FOR i IN range(1, 65)])::INT AS distance FROM c a JOIN c b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank, neighbor_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM p) WHERE rank <= 10""",
+    "op2_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "[ \\t-\\r]+")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r(doc, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(root) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc = d.doc_id GROUP BY 1, 2""",
+    "op4_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS.format("lower(text)", "[^\\p{L}\\p{N}]+")} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format("lower(text)", "[^\\p{L}\\p{N}]+")} AS w FROM benchmark),
+dk AS (SELECT doc_id, p, {_KEYS} FROM (SELECT doc_id, w, {_PLACES} FROM d)), bk AS (SELECT item_id, p, {_KEYS} FROM (SELECT item_id, w, {_PLACES} FROM b)),
+h AS ({" UNION ALL ".join(f"SELECT doc_id, item_id, dk.p AS p, dk.p - bk.p AS diag FROM dk JOIN bk ON dk.k{i} = bk.k{i}" for i in range(len(decontaminate.MASKS)))}),
+g AS (SELECT doc_id, item_id, diag, min(p) AS first_word FROM h GROUP BY 1, 2, 3),
+o AS (SELECT doc_id, item_id, first_word, len(b.w) AS m, [CASE WHEN diag + k >= 0 AND d.w[diag + k + 1] = b.w[k + 1] THEN 0 ELSE 1 END FOR k IN range(len(b.w))] AS miss FROM g JOIN d USING (doc_id) JOIN b USING (item_id)),
+v AS (SELECT doc_id, item_id, first_word, list_min([list_sum(miss[a + 1:a + least({decontaminate.STRETCH}, m)]) FOR a IN range(m - least({decontaminate.STRETCH}, m) + 1)]) AS misses FROM o)
+SELECT doc_id, item_id, min(first_word)::BIGINT AS first_word, min(misses)::BIGINT AS misses FROM v WHERE misses <= {decontaminate.MISSES} GROUP BY 1, 2""",
+}
