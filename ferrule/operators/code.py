@@ -53,7 +53,9 @@ def without_noise(findings: DataFrame) -> DataFrame:
 def plausible_bits(findings: DataFrame) -> DataFrame:
     """Nulls sizes that can't be: RSA, DSA and DH below 1024 (512 and 768 are real but weak, and stay), EC of 128, others that are no known size."""
     family, size = F.coalesce(names.family(F.col("profile_id")), F.lit("")), F.col("key_bits")
-    bad = (family.isin("RSA", "DSA", "DH") & (size < 1024) & ~size.isin(512, 768)) | (family.isin("EC", "ECDSA", "ECDH") & (size == 128)) | ~bits.is_valid_bits(size)
+    weak = family.isin("RSA", "DSA", "DH") & size.isin(512, 768)
+    bad = (family.isin("RSA", "DSA", "DH") & (size < 1024)) | (family.isin("EC", "ECDSA", "ECDH") & (size == 128)) | ~bits.is_valid_bits(size)
+    bad = bad & ~weak
     return findings.withColumn("key_bits", F.when(~F.coalesce(bad, F.lit(False)), size))
 
 
