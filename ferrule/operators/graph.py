@@ -163,3 +163,37 @@ def backward_slice(steps: DataFrame, seeds: DataFrame, max_hops: int = 12) -> Da
             break
         out = out.unionByName(cur)
     return out
+
+
+def caller_levels(edges: DataFrame, seeds: DataFrame, per_level: int = 5, depth: int = 2) -> DataFrame:
+    """(seed, node, level): the first per_level callers of each seed on each level, by name."""
+    front, out = seeds.select(F.col("node").alias("seed"), F.col("node").alias("dst")), None
+    for level in range(1, depth + 1):
+        met = front.join(edges.select("src", "dst").distinct(), "dst").select("seed", F.col("src").alias("node")).distinct()
+        w = Window.partitionBy("seed").orderBy("node")
+        here = cut(met.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_level).select("seed", "node", F.lit(level).cast("long").alias("level")))
+        out = here if out is None else out.unionByName(here)
+        front = here.select("seed", F.col("node").alias("dst"))
+    return out
+
+
+def context_slice(depends: DataFrame, calls: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(seed, node, context): what a seed depends on, across calls. depends: (node -> on) within a function; calls: (node -> on, site) where a step enters a
+    callee. A context is the list of open call sites; a site isn't entered twice."""
+    cur = seeds.select(F.col("node").alias("seed"), "node", F.array().cast("array<string>").alias("context"))
+    steps = depends.select("node", "on", F.lit(None).cast("string").alias("site")).unionByName(calls.select("node", "on", "site"))
+    seen = cut(cur)
+    front = seen
+    for _ in range(max_depth):
+        met = front.join(steps, "node").where(F.col("site").isNull() | ~F.array_contains("context", F.coalesce("site", F.lit(""))))
+        new = met.select("seed", F.col("on").alias("node"), F.when(F.col("site").isNull(), F.col("context")).otherwise(F.concat("context", F.array("site"))).alias("context")).distinct().join(seen, ["seed", "node", "context"], "left_anti")
+        front = cut(new)
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def propagation_stats(nodes: DataFrame) -> DataFrame:
+    """One row: nodes by status."""
+    return nodes.agg(F.count("*").alias("nodes"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("SENSITIVE", "PROPAGATED", "PRUNED", "SUSPECT", "ENTRY")])
