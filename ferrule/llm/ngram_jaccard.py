@@ -9,10 +9,11 @@ A document's set is its distinct 5-word shingles. Documents link at Jaccard >= 0
    bucket answers each step with counts of unique shingles.
 2. Equal sets are one class from here on. Step 1 is repeated among class representatives.
 3. The shingles of what is left are ordered by a fixed-size table of counts (rare first), and a set's first n - ceil(0.75 n) + 1
-   are its prefix: linked sets share a prefix shingle. In three rounds each set's likeliest partner (by the bound of step 4) is
-   verified, which makes most components; after that only pairs from different components matter.
-4. In each group of a shared shingle, group counts (shingle hashes fall into 512 groups) are points of a bulk-loaded R-tree. The sum of the
-   coordinates' minima bounds the overlap of a query with a node and with a point; what survives is verified on the full sets.
+   are its prefix: linked sets share a prefix shingle. In rounds, each set's likeliest partner in another component (by the
+   bound of step 4) is verified until a round links nothing; after that only pairs from different components matter.
+4. In each group of a shared shingle, group counts (shingle hashes fall into 512 groups) are points of a bulk-loaded R-tree. The
+   sum of the coordinates' minima bounds the overlap of a query with a node and with a point; what survives is verified on
+   the full sets.
 
 Shingles and sets are known by 64-bit hashes. Cases: null or empty texts and texts without words have an empty set, size 0,
 and are their own component; a null doc_id never is a component's name unless all its members lack one; repeated rows are one class; ties
@@ -345,10 +346,16 @@ def _links(sets: DataFrame) -> DataFrame:
         rows = materialize(rows.join(mixed, "tok", "left_semi").select("tok", "rank", "fp", "n", "component"), "rest")
         return rows.join(counts, "fp")
 
-    for rank in RANKS:
-        likely = _by_token(meeting(named.where(F.col("rank") < rank)), _nearest, "a long, b long, likeness double")
+    # each round links every set to its likeliest partner elsewhere, so what can merge at least halves; a round without a link ends it
+    turn = 0
+    while True:
+        likely = _by_token(meeting(named.where(F.col("rank") < RANKS[min(turn, len(RANKS) - 1)])), _nearest, "a long, b long, likeness double")
         forest = likely.groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-        edges = materialize(edges.unionByName(_verify(forest, sets)), "edges")
+        new = materialize(_verify(forest, sets), "links")
+        edges = edges.unionByName(new)
+        turn += 1
+        if new.isEmpty() and turn >= len(RANKS):
+            break
         named = shared.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     pairs = _by_token(meeting(named), _crossing, "a long, b long").distinct()
     return edges.unionByName(_verify(materialize(pairs, "pairs"), sets))
