@@ -66,6 +66,24 @@ def steps(off: np.ndarray, most: int = STEP_BYTES, rows: int = 60_000) -> Iterat
         lo = hi
 
 
+def release() -> None:
+    """Give memory that numpy has freed back to the system: workers live on between stages, and several share an executor."""
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def with_text(docs: DataFrame, keep: list) -> tuple[DataFrame, int, int]:
+    """docs with keep's columns, and the text last if it isn't among them: the frame, the text's place, the number of kept columns."""
+    given = docs.select(*keep)
+    if "text" in given.columns:
+        return given, given.columns.index("text"), len(given.columns)
+    return docs.select(*keep, F.col("text").alias("__text")), len(given.columns), len(given.columns)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes (murmur3)."""
     x = x ^ (x >> np.uint64(33))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, components, materialize, mix, partitions, shingle_sets, steps
+from .common import buffers, components, materialize, mix, partitions, release, shingle_sets, steps
 
 NUMERATOR, DENOMINATOR = 75, 100
 GROUPS, LEAF, SLOTS = 512, 32, 1 << 20
@@ -88,6 +88,7 @@ def _unique_counts(df: DataFrame, read) -> DataFrame:
                 load = [rem[edge[b] : edge[b + 1]].tobytes() + row[edge[b] : edge[b + 1]].tobytes() for b in full]
                 meta = b"".join(x.tobytes() for x in (ids[lo:hi].astype(np.int64), hs[lo:hi].astype(np.int64), _fingerprint(tok, at), n.astype(np.int64), known[lo:hi].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([*full.tolist(), seq % n_buckets], pa.int32()), pa.array([step] * (len(full) + 1), pa.int64()), pa.array([*load, None], pa.binary()), pa.array([None] * len(full) + [meta], pa.binary())], ["bucket", "step", "load", "meta"])
+            release()
 
     def answer(t: pa.Table) -> pa.Table:
         steps_, loads, metas = t["step"].to_pylist(), t["load"].to_pylist(), t["meta"].to_pylist()

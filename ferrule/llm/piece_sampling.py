@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LUT, buffers, mix, spans_hash, steps
+from .common import _LUT, buffers, mix, release, spans_hash, steps
 
 _models: dict = {}
 
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, path: str, keep: list[str | Column], key: Column | N
         for batch in batches:
             k = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             buf, off = buffers(batch.column(batch.num_columns - 1))
-            for lo, hi in steps(off, 3 << 20):
+            for lo, hi in steps(off, 1 << 20):
                 part = buf[off[lo] : off[hi]]
                 ids, at = vocabulary.sample(part, off[lo : hi + 1] - off[lo], k[lo:hi], seed)
                 back, back_at = vocabulary.decode(ids, at)
@@ -216,6 +216,7 @@ def encode(docs: DataFrame, path: str, keep: list[str | Column], key: Column | N
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-2]), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(same), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], [*(f.name for f in own), "n_pieces", "ids_crc32", "lossless", "ids"])
+            release()
 
     return given.mapInArrow(run, schema)
 

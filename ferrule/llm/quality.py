@@ -14,9 +14,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from .common import buffers, steps
+from .common import buffers, release, steps, with_text
 
 #: Labelled rows of each class that the network is fitted on, at most about.
 FIT_ROWS = 1500
@@ -127,17 +126,18 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 14, batch: int = 32, chun
 
 def score(docs: DataFrame, model: dict | float, keep: list[Column]) -> DataFrame:
     """keep's columns with score and predicted (score >= 0.5); one narrow pass over whole texts."""
-    given = docs.select(*keep, F.col("text").alias("__text"))
-    names = given.columns[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1]) + ", score double, predicted int"
+    given, at_text, kept = with_text(docs, keep)
+    names = given.columns[:kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:kept]) + ", score double, predicted int"
 
     def run(batches):
         for batch in batches:
-            buf, off = buffers(batch.column(batch.num_columns - 1))
+            buf, off = buffers(batch.column(at_text))
             p = np.full(batch.num_rows, model if isinstance(model, float) else 0.0)
             if not isinstance(model, float):
                 for lo, hi in steps(off, 1 << 19):
                     p[lo:hi] = predict(model, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            release()
 
     return given.mapInArrow(run, schema)

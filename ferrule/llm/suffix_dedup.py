@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LUT, buffers, materialize, mix, partitions, spans_hash, steps
+from .common import _LUT, buffers, materialize, mix, partitions, release, spans_hash, steps
 
 WINDOW, GRAM, BLOCK = 200, 64, 40
 PASSES = WINDOW // BLOCK
@@ -110,6 +110,7 @@ def _seen(given: DataFrame) -> DataFrame:
                 load = [rem[a:b].tobytes() + ctx_s[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(edge[full], edge[full + 1])]
                 meta = np.array([hi - lo, len(row)], np.int64).tobytes() + b"".join(x.tobytes() for x in (k1[lo:hi].astype(np.int64), k2[lo:hi].astype(np.int64), anchor, row.astype(np.int32), first.astype(np.int32), entry.astype(np.int32), count.astype(np.uint8)))
                 yield pa.RecordBatch.from_arrays([pa.array([*full.tolist(), seq % n_buckets], pa.int32()), pa.array([step] * (len(full) + 1), pa.int64()), pa.array([*full.tolist(), -1], pa.int32()), pa.array([*load, meta], pa.binary())], ["bucket", "step", "part", "load"])
+            release()
 
     def answer(t: pa.Table) -> pa.Table:
         steps_, parts, loads = (t[c].to_pylist() for c in ("step", "part", "load"))
@@ -271,6 +272,7 @@ def _solve(batches):
             if size > UNIT and r[0] != held[-1][0]:
                 yield from out(list(unit(held)))
                 held, size = [], 0
+                release()
             held.append(r)
             size += len(r[6])
     if held:

@@ -21,12 +21,11 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from .common import _LUT, LOWER, buffers, spans_hash, steps
+from .common import LOWER, _LUT, buffers, release, spans_hash, steps, with_text
 
 #: Labelled rows of each class that the grammar is fitted on, at most about.
-FIT_ROWS = 5000
+FIT_ROWS = 3000
 
 # The grammar's closed word classes.
 SEED_INSULTS = "idiot moron loser scum trash pathetic worthless disgusting stupid clown".split()
@@ -274,18 +273,19 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[Lexicon, np.ndarray]:
 def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], keep: list[Column]) -> DataFrame:
     """keep's columns with score and predicted (score >= 0.5); one narrow pass over whole texts."""
     lexicon, w = model
-    given = docs.select(*keep, F.col("text").alias("__text"))
-    names = given.columns[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1]) + ", score double, predicted int"
+    given, at_text, kept = with_text(docs, keep)
+    names = given.columns[:kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:kept]) + ", score double, predicted int"
 
     def run(batches):
         for batch in batches:
-            buf, off = buffers(batch.column(batch.num_columns - 1))
+            buf, off = buffers(batch.column(at_text))
             z = np.full(batch.num_rows, w[-1])
             for lo, hi in steps(off):
                 for i, flags in lexicon.flags(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).items():
                     z[lo + i] = w[-1] + features(flags) @ w[:-1]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            release()
 
     return given.mapInArrow(run, schema)
