@@ -201,7 +201,7 @@ def _words_of(text: str) -> list[str]:
 
 def induce(texts: list[str], y: np.ndarray) -> tuple[list[str], list[str]]:
     """Insult words and word beginnings that only toxic rows have, as far as chance goes: the log-likelihood ratio of a
-    word's rows against the classes' shares must stand out among all words tested (Bonferroni at 10 %). Evidence is the number
+    word's rows against the classes' shares must stand out among all words tested (Bonferroni at 1 %). Evidence is the number
     of different words before it, so copies of one row count once. A beginning (4 to 7 letters) needs 3 different words."""
     good: dict = defaultdict(int)
     bad: dict = defaultdict(int)
@@ -224,7 +224,7 @@ def induce(texts: list[str], y: np.ndarray) -> tuple[list[str], list[str]]:
         return 0.0 if p <= share else 2 * (a * np.log(p / share) + (b * np.log((1 - p) / (1 - share)) if b else 0))
 
     def bound(tests: int) -> float:
-        return 2 * (np.log(max(tests, 1)) + np.log(10))
+        return 2 * (np.log(max(tests, 1)) + np.log(100))
 
     least = bound(len(bad))
     words = sorted(w for w, n in bad.items() if len(w) > 2 and ratio(min(n, len(after[w])), good.get(w, 0)) >= least and good.get(w, 0) / n_good <= 0.02 * n / n_bad)
