@@ -67,7 +67,8 @@ def steps(off: np.ndarray, most: int = STEP_BYTES, rows: int = 60_000) -> Iterat
 
 
 def release() -> None:
-    """Give memory that numpy has freed back to the system: workers live on between stages, and several share an executor."""
+    """Give memory that numpy and Arrow have freed back to the system: workers live on between stages, and several share an executor."""
+    pa.default_memory_pool().release_unused()
     try:
         import ctypes
 

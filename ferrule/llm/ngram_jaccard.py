@@ -91,6 +91,7 @@ def _unique_counts(df: DataFrame, read) -> DataFrame:
             release()
 
     def answer(t: pa.Table) -> pa.Table:
+        release()
         steps_, loads, metas = t["step"].to_pylist(), t["load"].to_pylist(), t["meta"].to_pylist()
         own = [i for i, x in enumerate(loads) if x is not None]
         sizes = np.array([len(loads[i]) // 6 for i in own], np.int64)
