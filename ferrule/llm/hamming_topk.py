@@ -4,9 +4,10 @@ Codes of 64 bits are indexed by each of their 4 segments of 16 bits. Queries pro
 just that distance from their own. After radius r all codes up to distance 4 (r + 1) - 1 have been seen (a nearer one would agree better in
 some segment), so a query is done when its k-th verified distance is within that; only the others go on.
 
-Equal codes are one indexed code with its k + 1 smallest ids (no others can be in a top-k ordered by distance and id), so
-neither a very common vector nor a bucket of equal codes grows a result. A pair met in several segments is taken in the first of its
-nearest ones: no distinct is needed.
+Equal codes are one indexed code with its k + 1 smallest different ids and how often each occurs (no others can be in a top-k ordered by
+distance and id, whichever id is the query's own), so neither a very common vector nor a bucket of equal codes grows a result. A query code
+keeps its k + 1 nearest different ids, of each the nearest k rows: without the query's own id k rows are left, however often that id
+occurs. A pair met in several segments is taken in the first of its nearest ones: no distinct is needed.
 
 Cases: null embeddings and null ids are neither indexed nor asked; a row is not its own neighbour, but an equal row is; repeated ids are
 rows of their own; ties go to the smaller id; fewer than k other rows give fewer; an empty table gives no rows; extra columns are ignored.
@@ -36,13 +37,23 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _nearest_ids(met: DataFrame, k: int) -> DataFrame:
+    """met: (q, id, n rows, distance). The entries of each q's k + 1 nearest different ids, of each id those of its k nearest rows."""
+    of_id = Window.partitionBy("q", "id").orderBy("distance")
+    nearer = F.coalesce(F.sum("n").over(of_id.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = met.repartition("q").withColumns({"nearer": nearer, "first": F.first("distance").over(of_id)}).where(F.col("nearer") < k)
+    ids = F.dense_rank().over(Window.partitionBy("q").orderBy("first", "id"))
+    return kept.withColumn("r", ids).where(F.col("r") <= k + 1).select("q", "id", "n", "distance")
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """rows, queries: (id long, code long). (query_id, rank, id, distance) of each query's k nearest other rows."""
     spark = rows.sparkSession
     rows = rows.where(F.col("id").isNotNull() & F.col("code").isNotNull())
     queries = queries.where(F.col("id").isNotNull() & F.col("code").isNotNull())
     smallest = Window.partitionBy("code").orderBy("id")
-    members = materialize(rows.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).select("code", "id"), "members")
+    entries = rows.groupBy("code", "id").agg(F.least(F.count("*"), F.lit(k)).alias("n"))  # no top-k holds more of one
+    members = materialize(entries.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).select("code", "id", "n"), "members")
     codes = members.select("code").distinct()
     index = materialize(codes.select("code", F.posexplode(F.array(*[_segment(F.col("code"), s) for s in range(SEGMENTS)])).alias("seg", "value")), "index")
     masks = spark.range(1 << WIDTH).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("d"))  # 65,536 rows
@@ -57,19 +68,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         # in the first of the segments at this radius, and none is nearer
         for s in range(SEGMENTS):
             pairs = pairs.where((apart[s] > radius) | ((apart[s] == radius) & (F.col("seg") <= s)))
-        # what is farther than the k + 1 best so far can't be among them
+        # what is farther than the k + 1 best ids so far can't be among them
         pairs = pairs.where(_distance(F.col("q"), F.col("code")) <= F.col("limit"))
-        met = pairs.select("q", "code", _distance(F.col("q"), F.col("code")).alias("distance")).join(members, "code").select("q", "id", "distance")
-        nearest = Window.partitionBy("q").orderBy("distance", "id")
-        best = (met if best is None else met.unionByName(best)).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).drop("r")
+        met = pairs.select("q", "code", _distance(F.col("q"), F.col("code")).alias("distance")).join(members, "code").select("q", "id", "n", "distance")
+        best = _nearest_ids(met if best is None else met.unionByName(best), k)
         best = materialize(best, "best")
         sure = SEGMENTS * (radius + 1) - 1
-        done = best.where(F.col("distance") <= sure).groupBy("q").count().where(F.col("count") >= k + 1).select("q")
+        done = best.where(F.col("distance") <= sure).groupBy("q").agg(F.count_distinct("id").alias("ids")).where(F.col("ids") >= k + 1).select("q")
         if radius == WIDTH:
             found.append(best)
             break
         found.append(best.join(done, "q", "left_semi"))
-        worst = best.groupBy("q").agg(F.max("distance").alias("far"), F.count("*").alias("n")).where(F.col("n") >= k + 1)
+        nearest = best.groupBy("q", "id").agg(F.min("distance").alias("distance"))
+        worst = nearest.groupBy("q").agg(F.max("distance").alias("far"), F.count("*").alias("ids")).where(F.col("ids") >= k + 1)
         asked = asked.join(done, "q", "left_anti").join(worst, "q", "left")
         asked = materialize(asked.select("q", F.coalesce("far", "limit").alias("limit")), "asked")
         best = best.join(done, "q", "left_anti")
@@ -80,5 +91,6 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         near = near.unionByName(more)
     own = Window.partitionBy("query_row").orderBy("distance", "id")
     each = queries.select(F.monotonically_increasing_id().alias("query_row"), F.col("id").alias("query_id"), F.col("code").alias("q"))
-    out = each.join(near, "q").where(F.col("id") != F.col("query_id")).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+    others = each.join(near, "q").where(F.col("id") != F.col("query_id")).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    out = others.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("id").alias("neighbor_id"), "distance")

@@ -146,6 +146,23 @@ def test_top_k(spark):
     assert hamming_topk.top_k(df.limit(0), asked, 5).count() == 0
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    rng = np.random.default_rng(5)
+    codes = [int(c) for c in rng.integers(-(2**63), 2**63, 60, dtype=np.int64)]
+    rows = list(enumerate(codes)) + [(20, codes[20])]  # a repeated row
+    rows += [(40, codes[40])] * 9  # more often than k + 1
+    rows += [(0, codes[0] ^ (1 << i)) for i in range(12)]  # one id, many codes
+    rows += [(21, codes[20] ^ 1)] * 3 + [(22, codes[20] ^ 2)]  # a neighbour that is repeated
+    df = spark.createDataFrame(rows, "id long, code long").repartition(3)
+    got = Counter((q, rank, d, n) for q, rank, n, d in hamming_topk.top_k(df, df.where("id % 20 = 0"), 5).select("query_id", "rank", "neighbor_id", "distance").collect())
+    want = Counter()
+    for q, c in rows:
+        if q % 20 == 0:
+            near = sorted((bin((c ^ o) & (2**64 - 1)).count("1"), i) for i, o in rows if i != q)[:5]
+            want.update((q, r + 1, d, i) for r, (d, i) in enumerate(near))
+    assert got == want
+
+
 def words(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
