@@ -31,14 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join: the one with the smallest doc_id. Of components and rows that
-    doc_id can't tell apart (null or repeated ids), one row of each id, or of each text where it is null."""
-    groups = materialize(ngram_jaccard.jaccard_components(docs), "groups")
-    kept = _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), ["doc_id"])
-    rows, ids = groups.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if rows != ids:
-        kept = kept.withColumn("__t", F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", "__t"])
-    return kept.select(*COLUMNS)
+    """One row of each component of the n-gram Jaccard join: the one with the smallest doc_id (null last). Rows are told by an id of their own,
+    so doc_ids may be null or repeated; a row without words is its own component and stays."""
+    keyed = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "keyed")
+    groups = ngram_jaccard.jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    groups = materialize(groups, "groups")
+    several = groups.where(F.col("__row") != F.col("component_id")).select("component_id").distinct()
+    members = materialize(groups.join(several, "component_id", "left_semi").join(keyed.select("__row", "doc_id"), "__row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x")).select(F.col("x.__row").alias("__row"))
+    return _without(keyed, members.select("__row").join(first, "__row", "left_anti"), ["__row"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

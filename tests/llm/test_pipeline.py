@@ -48,3 +48,15 @@ def test_stages(spark, corpus, rows, folder):
 def test_run(spark, folder):
     out = pipeline.run(spark, folder)
     assert out.where("not lossless").count() == 0 and out.count() > 20
+
+
+def test_near_copies_among_null_and_repeated_ids(spark, folder):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " end"
+    given = [(1, text(0)), (1, text(1)), (1, near(2)), (0, text(2)), (None, text(3)), (None, near(3)), (None, near(0)), (None, text(4)), (5, text(4)), (6, text(5)), (6, text(5)), (None, text(6)), (7, ""), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [(r.doc_id, r.text) for r in dict(pipeline.STAGES)["ngram_jaccard_join"](spark, docs, folder).collect()]
+    three = [x for x in kept if x[1] in (text(3), near(3))]
+    assert len(three) == 1 and three[0][0] is None
+    want = [(1, text(0)), (1, text(1)), (0, text(2)), (5, text(4)), (6, text(5)), (None, text(6)), (7, ""), (7, ""), (None, None)]
+    assert sorted(map(repr, kept)) == sorted(map(repr, want + three))
