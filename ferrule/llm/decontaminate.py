@@ -5,9 +5,11 @@ and ignores some of them, so a substituted word inside a passage leaves other ha
 benchmark's hashes in a broadcast join in the same stage as the scan (no shuffle of the corpus; the benchmark's rows are counted first, and
 beyond a bound the join shuffles instead). Text and item are then laid side by side on the hit's diagonal, and
 the pair counts if some stretch of 13 aligned words (the whole item, if it is shorter) has at most 2 substitutions. Words are compared by 64-bit
-hashes.
+hashes. MASKS and MORE together hit every stretch of 13 words with 2 substitutions, SHORT every one of 8 words, wherever they lie (a test
+enumerates them); items of 8 to 12 words are looked up by SHORT, items of fewer words than 8 as a whole and must stand verbatim. Both cost a
+second pass over the texts, only where the benchmark has such items.
 
-Cases: null and empty texts and items never hit, nor do items of fewer words than a mask spans (8); repeated rows get equal results; an empty benchmark clears every row; extra columns pass by.
+Cases: null and empty texts and items never hit; repeated rows get equal results; an empty benchmark clears every row; extra columns pass by.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from .common import materialize
 
 #: Fixed masks over 8 words: 1 is looked at, 0 is ignored.
 MASKS = ("11011011", "10111101")
+#: Covers the placements of two substitutions in 13 words that MASKS miss.
+MORE = ("11001011",)
+#: For items of 8 to 12 words.
+SHORT = ("1111", "110011", "11000011")
 SPAN = 8
 STRETCH, MISSES = 13, 2
 BROADCAST_ROWS = 250_000
@@ -46,7 +52,7 @@ def _hash(row: str, mask: str) -> Column:
 
 
 #: Words that every mask looks at: the join's key; each mask's own hash is compared in the same join.
-COMMON = "".join("1" if all(m[j] == "1" for m in MASKS) else "0" for j in range(SPAN))
+COMMON = "".join("1" if all(m[j] == "1" for m in MASKS + MORE) else "0" for j in range(SPAN))
 
 
 def _seeds(rows: DataFrame, keep: list[str], words: Column, place: str) -> DataFrame:
@@ -54,14 +60,40 @@ def _seeds(rows: DataFrame, keep: list[str], words: Column, place: str) -> DataF
     that carried them would grow with the square of a text. The outer form keeps the optimizer from testing the array's size beforehand, which
     would hash every text twice."""
     at = rows.select(*keep, F.posexplode_outer(_places(words)).alias(place, "s"))
-    return at.select(*keep, place, _hash("s", COMMON).alias("common"), *[_hash("s", m).alias(f"seed{i}") for i, m in enumerate(MASKS)], (F.col("s").isNotNull() & F.col("s.w7").isNotNull()).alias("fits"))
+    return at.select(*keep, place, _hash("s", COMMON).alias("common"), *[_hash("s", m).alias(f"seed{i}") for i, m in enumerate(MASKS + MORE)], (F.col("s").isNotNull() & F.col("s.w7").isNotNull()).alias("fits"))
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """(common, item_seed0, item_seed1, item_place, item_id) of the benchmark."""
+    """(common, item_seed0, item_seed1, item_seed2, item_place, item_id) of the benchmark's items of STRETCH words or more."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("item"))
+    items = items.where(F.size("item") >= STRETCH)
     rows = _seeds(items, ["item_id"], F.col("item"), "item_place").where("fits").drop("fits")
-    return rows.withColumnsRenamed({f"seed{i}": f"item_seed{i}" for i in range(len(MASKS))}).distinct()
+    return rows.withColumnsRenamed({f"seed{i}": f"item_seed{i}" for i in range(len(MASKS + MORE))}).distinct()
+
+
+def _short_seeds(rows: DataFrame, keep: list[str], words: Column, place: str, masks: list[str]) -> DataFrame:
+    """keep's columns, the place and each mask's hash as `key`, for every place where the mask fits."""
+    at = rows.select(*keep, F.posexplode_outer(_places(words)).alias(place, "s"))
+    keys = [F.when(F.col(f"s.w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(m), _hash("s", m))) for m in masks]
+    return at.select(*keep, place, F.explode(F.array(*keys)).alias("key")).where("key is not null")
+
+
+def _short_hits(texts: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """(__k, __n, item_id, diagonal, first_word) of items of fewer than STRETCH words; of a whole item the first place alone. texts: (__k, __n, w)."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("item"))
+    items = materialize(items.where(F.size("item").between(1, STRETCH - 1)), "short")
+    sizes = sorted(r["n"] for r in items.select(F.size("item").alias("n")).distinct().collect())
+    if not sizes:
+        return None
+    whole = {n: "1" * n for n in sizes if n < SPAN}
+    masks = list(dict.fromkeys([*whole.values(), *(SHORT if sizes[-1] >= SPAN else ())]))
+    seeds = _short_seeds(items.where(F.size("item") >= SPAN), ["item_id"], F.col("item"), "item_place", list(SHORT)).withColumn("whole", F.lit(False))
+    for n, mask in whole.items():
+        seeds = seeds.unionByName(_short_seeds(items.where(F.size("item") == n), ["item_id"], F.col("item"), "item_place", [mask]).withColumn("whole", F.lit(True)))
+    seeds = materialize(seeds.distinct(), "short_seeds")
+    met = _short_seeds(texts, ["__k", "__n"], F.col("w"), "at", masks).join(F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds, "key")
+    hits = met.groupBy("__k", "__n", "item_id", F.when(~F.col("whole"), F.col("at") - F.col("item_place")).alias("d")).agg(F.min("at").cast("long").alias("first_word"))
+    return hits.select("__k", "__n", "item_id", F.coalesce("d", F.col("first_word").cast("int")).alias("diagonal"), "first_word")
 
 
 def _misses(words: Column, item: Column, diagonal: Column) -> Column:
@@ -80,16 +112,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> Data
     seeds = materialize(item_seeds(benchmark), "seeds")
     few = seeds.count() <= BROADCAST_ROWS
     spread = _seeds(keyed.select("__k", "__n", word_hashes(F.col("__text")).alias("w")), ["__k", "__n"], F.col("w"), "at")
-    same = [F.col(f"seed{i}") == F.col(f"item_seed{i}") for i in range(len(MASKS))]
+    same = [F.col(f"seed{i}") == F.col(f"item_seed{i}") for i in range(len(MASKS + MORE))]
     met = spread.join(F.broadcast(seeds) if few else seeds, "common").where(F.col("fits") & reduce(or_, same))
-    hits = met.groupBy("__k", "__n", "item_id", (F.col("at") - F.col("item_place")).alias("diagonal")).agg(F.min("at").cast("long").alias("first_word"))
-    hits = materialize(hits, "hits")
+    # the first word is told by MASKS wherever they hit
+    first = F.coalesce(F.min(F.when(reduce(or_, same[: len(MASKS)]), F.col("at"))), F.min("at")).cast("long").alias("first_word")
+    hits = met.groupBy("__k", "__n", "item_id", (F.col("at") - F.col("item_place")).alias("diagonal")).agg(first)
+    short = _short_hits(keyed.select("__k", "__n", word_hashes(F.col("__text")).alias("w")), benchmark)
+    hits = materialize(hits if short is None else hits.unionByName(short), "hits")
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("item"))
     hits = hits.join(F.broadcast(items) if few else items, "item_id")
     texts = keyed.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, ["__k", "__n"])
     # written first: a word list inlined in a lambda would be cut anew for every word
     laid = materialize(texts.select(*keep, "item_id", "item", "diagonal", "first_word", word_hashes(F.col("__text")).alias("words")), "laid")
-    best = laid.withColumn("misses", _misses(F.col("words"), F.col("item"), F.col("diagonal"))).where(F.col("misses") <= MISSES)
+    best = laid.withColumn("misses", _misses(F.col("words"), F.col("item"), F.col("diagonal"))).where(F.col("misses") <= F.when(F.size("item") < SPAN, 0).otherwise(MISSES))
     return best.select(*keep, "item_id", "first_word", F.col("misses").cast("long").alias("misses"))
 
 

@@ -5,6 +5,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -202,6 +203,32 @@ def test_leaks(spark, corpus, rows, wide, empty):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_masks_hit_every_placement():
+    for length, masks in ((13, decontaminate.MASKS + decontaminate.MORE), (8, decontaminate.SHORT)):
+        for gone in combinations(range(length), 2):
+            assert any(all(m[p - o] == "0" for p in gone if o <= p < o + len(m)) for m in masks for o in range(length - len(m) + 1)), (length, gone)
+
+
+def test_leaks_without_seeds(spark):
+    """Every placement of two substitutions in 13 words, and items of fewer words, against the rule alone."""
+    docs, items = [], [(0, " ".join(f"w{i}" for i in range(13))), (1, "only three words"), (2, "seven words are more than three yet"), (3, " ".join(f"v{i}" for i in range(8))), (4, " ".join(f"u{i}" for i in range(11))), (5, "single")]
+    for item, stem, size in ((0, "w", 13), (3, "v", 8), (4, "u", 11)):
+        for gone in combinations(range(size), 2):
+            docs.append((len(docs), " ".join(["before"] + ["changed" if i in gone else f"{stem}{i}" for i in range(size)] + ["after"])))
+    docs += [(1000, "here are Only three words. And a single one"), (1001, "only two words"), (1002, "say seven words are more than three yet"), (1003, "seven words are more than two yet"), (1004, "single single"), (1005, None), (1006, ""), (1007, " ".join(f"w{i}" for i in range(11)))]
+    want = set()
+    for d, t in docs:
+        w = words(t)
+        for i, m in items:
+            x = words(m)
+            n, allowed = min(13, len(x)), 0 if len(x) < 8 else 2
+            miss = [min(sum(not (0 <= g + k < len(w) and w[g + k] == x[k]) for k in range(a, a + n)) for a in range(len(x) - n + 1)) for g in range(-len(x) + 1, len(w))]
+            if miss and min(miss) <= allowed:
+                want.add((d, i, min(miss)))
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "misses").collect()} == want and len(want) > 150
+
+
 def test_token_files(spark, corpus, rows, wide, empty):
     from tokenizers import Tokenizer
 
