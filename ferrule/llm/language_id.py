@@ -1,6 +1,6 @@
 """Language ID with a bit-sliced n-gram Bloom filter.
 
-One filter serves all languages: each slot holds a 64-bit mask of languages, and the AND of an n-gram's slots is the set of
+One filter serves all languages: each slot holds a mask of languages (a 64-bit word for each 64 of them), and the AND of an n-gram's slots is the set of
 languages that may contain it. A text's n-grams are looked up once; the per-language counts of set bits are corrected for each
 language's false-positive rate (its share of set bits to the power of the number of hashes), and the largest corrected count
 decides.
@@ -60,8 +60,8 @@ def fit(labelled: DataFrame, least: int = 3) -> tuple[list[str], np.ndarray, np.
     # a bounded top-k of each language: partial aggregation keeps FIT_ROWS in each task, never a whole language
     threshold = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = {r["lang"]: min(1.0, FIT_ROWS / r["n"]) for r in threshold.collect()}
-    langs = sorted(share)[:64]
-    masks, fp = np.zeros(SLOTS, np.uint64), np.zeros(len(langs))
+    langs = sorted(share)
+    masks, fp = np.zeros((max(1, -(-len(langs) // 64)), SLOTS), np.uint64), np.zeros(len(langs))
     if not langs:
         return langs, masks, fp
     cut = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(share[k] * (2**63 - 1)) * 2 - 2**63 if share[k] < 1 else 2**63 - 1))]), F.col("lang"))
@@ -83,13 +83,13 @@ def fit(labelled: DataFrame, least: int = 3) -> tuple[list[str], np.ndarray, np.
     for k, (g, x) in enumerate(shares):
         g = g[x >= SHARE * most[np.searchsorted(grams, g)]]
         for s in _slots(g):
-            masks[s] |= np.uint64(1 << k)
-        fp[k] = np.mean((masks >> np.uint64(k)) & np.uint64(1)) ** HASHES
+            masks[k // 64, s] |= np.uint64(1 << k % 64)
+        fp[k] = np.mean((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)) ** HASHES
     return langs, masks, fp
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[Column]) -> DataFrame:
-    """keep's columns with lang_pred and score for every row; one pass, no shuffle. The model is 16 MB whatever the input."""
+    """keep's columns with lang_pred and score for every row; one pass, no shuffle. The model is 16 MB for each 64 languages."""
     langs, masks, fp = model
     spark = docs.sparkSession
     slots = spark.sparkContext.broadcast(masks.view(np.int64) if len(langs) > 8 else masks.astype(np.uint8))
@@ -104,17 +104,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
             n, text = batch.num_rows, batch.column(batch.num_columns - 1)
             buf, off = buffers(text)
             best, score = np.full(n, -1), np.zeros(n)
-            for lo, hi in steps(off):
+            for lo, hi in steps(off, rows=max(1, 60_000 * 64 // max(64, len(langs)))):
                 g, row = _grams(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 if not len(g) or not langs:
                     continue
-                a, b, c = (table[s] for s in _slots(g))
-                mask = a & b & c
+                a, b, c = _slots(g)
+                seen = [word[a] & word[b] & word[c] for word in table]
                 rows = hi - lo
                 total = np.bincount(row, minlength=rows)
                 hits = np.zeros((len(langs), rows))
                 for k in range(len(langs)):
-                    hits[k] = np.bincount(row, weights=(mask >> table.dtype.type(k)) & table.dtype.type(1), minlength=rows)
+                    hits[k] = np.bincount(row, weights=(seen[k // 64] >> table.dtype.type(k % 64)) & table.dtype.type(1), minlength=rows)
                 true = np.clip((hits - total * fp[:, None]) / (1 - fp[:, None]), 0, None)
                 top = true.argmax(0)
                 best[lo:hi] = np.where(total > 0, top, -1)

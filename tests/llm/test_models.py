@@ -92,3 +92,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_more_than_64_languages(spark):
+    rng = np.random.default_rng(6)
+    langs = [f"l{k:02d}" for k in range(70)]
+    vocabulary = {x: ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(12)] for x in langs}
+    rows = [(i, " ".join(rng.choice(vocabulary[x], 20)), x) for i, x in enumerate(langs * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    got = language_id.predict(docs, language_id.fit(docs), ["lang"]).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
