@@ -211,11 +211,14 @@ def induce(texts: list[str], y: np.ndarray) -> tuple[list[str], list[str]]:
         count = bad if toxic else good
         for w in set(own):
             count[w] += 1
-        if toxic:
-            for a, w in zip(["", *own], own):
-                if len(after[w]) < 64:
-                    after[w].add(a)
     n_bad, n_good = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    # contexts are counted in full, but only of words that clean rows have seldom enough
+    rare = {w for w, n in bad.items() if len(w) > 2 and good.get(w, 0) / n_good <= 0.02 * n / n_bad}
+    for text in (t for t, toxic in zip(texts, y) if toxic):
+        own = _words_of(text)
+        for a, w in zip(["", *own], own):
+            if w in rare:
+                after[w].add(a)
     share = n_bad / (n_bad + n_good)
 
     def ratio(a: float, b: float) -> float:
@@ -227,7 +230,7 @@ def induce(texts: list[str], y: np.ndarray) -> tuple[list[str], list[str]]:
         return 2 * (np.log(max(tests, 1)) + np.log(100))
 
     least = bound(len(bad))
-    words = sorted(w for w, n in bad.items() if len(w) > 2 and ratio(min(n, len(after[w])), good.get(w, 0)) >= least and good.get(w, 0) / n_good <= 0.02 * n / n_bad)
+    words = sorted(w for w in rare if ratio(min(bad[w], len(after[w])), good.get(w, 0)) >= least)
     clean, begins = set(), defaultdict(lambda: [set(), 0, set()])
     for w in good:
         clean.update(w[:n] for n in range(4, 8))

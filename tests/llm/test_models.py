@@ -102,3 +102,12 @@ def test_more_than_64_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
     got = language_id.predict(docs, language_id.fit(docs), ["lang"]).collect()
     assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
+
+
+def test_a_frequent_insult_is_induced_at_every_size():
+    """In half of the toxic and 1 in 125 of the clean rows, each time after another word."""
+    for rows in (250, 3000):
+        toxic = [f"before{i} blockhead" if i % 2 else f"plain{i} words" for i in range(rows)]
+        clean = [f"quoted{i} blockhead" if i % 125 == 0 else f"plain{i} words" for i in range(rows)]
+        words, _ = toxicity.induce(toxic + clean, np.array([1] * rows + [0] * rows))
+        assert "blockhead" in words, rows
