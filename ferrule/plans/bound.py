@@ -11,6 +11,8 @@ from ..functions import algorithms, bits, levels, linear, names
 from ..operators import asof, constraint, graph, interval, match, rank, report, state
 from ..sources import files as source_files
 
+#: Rows of a table that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 250_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -169,12 +171,26 @@ def q_wrapper_merge(spark, sf_dir):
 @query("""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def q_contamination(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    # the first six words are a key that text and item share wherever the item lies in the text
+    # words strictly inside an item, five at most, are a key that text and item share wherever the item lies in the text
     words = lambda c: F.split(c, r"\s+")
-    six = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(1, 6)])
-    keyed = items.withColumn("w", words(F.col("item"))).where(F.size("w") > 7).select("item_id", "item", six(F.col("w"), F.lit(0)).alias("h"))
-    at = docs.withColumn("w", words(F.col("text"))).withColumn("h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 6, F.lit(0))), lambda i: six(F.col("w"), i)))))
-    return at.join(F.broadcast(keyed), "h").where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+    inner = lambda n: lambda i: F.xxhash64(F.lit(n), *[F.get(F.col("w"), i + j) for j in range(1, n + 1)])
+    items = items.where("item is not null").withColumn("w", words(F.col("item"))).withColumn("n", F.greatest(F.least(F.size("w") - 2, F.lit(5)), F.lit(0)))
+    few = items.count() <= BROADCAST_ROWS
+    small = lambda df: F.broadcast(df) if few else df
+    sizes = sorted(r["n"] for r in items.select("n").distinct().collect())
+    # an item of one or two words has none inside: every text is searched for it
+    out = docs.join(small(items.where("n = 0").select("item_id", "item")), F.contains("text", "item")).select("doc_id", "item_id") if 0 in sizes else None
+    sizes = [n for n in sizes if n]
+    if sizes or out is None:
+        h = F.lit(None).cast("long")
+        for n in sizes:
+            h = F.when(F.col("n") == n, inner(n)(F.lit(0))).otherwise(h)
+        keyed = items.where("n > 0").select("item_id", "item", h.alias("h"))
+        spread = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n - 1, F.lit(0))), inner(n)) for n in sizes or [5]]
+        at = docs.withColumn("w", words(F.col("text"))).withColumn("h", F.explode(F.array_distinct(F.concat(*spread))))
+        keyed = at.join(small(keyed), "h").where(F.contains("text", "item")).select("doc_id", "item_id")
+        out = keyed if out is None else out.unionByName(keyed)
+    return out.distinct()
 
 
 # ---- intervals and as-of ----

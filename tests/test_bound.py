@@ -26,3 +26,12 @@ def test_same_rows(spark, con, name):
     cols = sorted(a.column_names)
     assert cols == sorted(b.column_names)
     assert sorted(map(repr, zip(*[a[c].to_pylist() for c in cols]))) == sorted(map(repr, zip(*[b[c].to_pylist() for c in cols])))
+
+
+def test_contamination_by_short_items(spark, tmp_path):
+    items = [(i, " ".join(f"x{j}" for j in range(n))) for i, n in enumerate(range(1, 10))] + [(20, "cat"), (21, "two  words"), (22, None), (23, "a b c")]
+    docs = [(0, "y" + " ".join(f"x{j}" for j in range(9)) + "z end"), (1, "concatenate two  words"), (2, "two words a b"), (3, None), (4, "a b c"), (5, "za b cz"), (6, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, bound.q_contamination(spark, str(tmp_path)).collect()))
+    assert got == sorted((d, i) for d, t in docs for i, m in items if t is not None and m is not None and m in t)
