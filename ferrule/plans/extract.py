@@ -73,7 +73,7 @@ def python_facts(code: str) -> Iterator[dict]:
                 to = text(node.targets[0]) if isinstance(node, ast.Assign) and len(node.targets) == 1 else None
                 yield {"kind": "call", "line": line, "name": text(f) if isinstance(f, (ast.Name, ast.Attribute)) else "", "receiver": text(f.value) if isinstance(f, ast.Attribute) else None, "value": to, "owner": owner, "args": args}
             elif isinstance(child, ast.Constant) and isinstance(child.value, (int, str, bytes)):
-                yield {"kind": "literal", "line": line, "value": repr(child.value)[:200], "owner": owner}
+                yield {"kind": "literal", "line": line, "value": repr(child.value), "owner": owner}
             elif isinstance(child, ast.Attribute) and not isinstance(node, ast.Call):
                 yield {"kind": "attribute", "line": line, "name": text(child), "owner": owner}
             yield from walk(child, here, inside)
@@ -155,7 +155,7 @@ def clike_facts(code: str, lang: str) -> Iterator[dict]:
         row = {"line": line_of(m.start()), "value": m[4].strip(), "owner": owner(m.start())}
         yield row | ({"kind": "field", "receiver": m[1] + path.rsplit(".", 1)[0], "name": path.rsplit(".", 1)[-1]} if path else {"kind": "assignment", "name": m[1]})
     for m in re.finditer(r'"(?:\\.|[^"\\\n])*"|\b\d+\b', code):
-        yield {"kind": "literal", "line": line_of(m.start()), "value": m[0][:200], "owner": owner(m.start())}
+        yield {"kind": "literal", "line": line_of(m.start()), "value": m[0], "owner": owner(m.start())}
 
 
 def file_facts(code: str | None, lang: str) -> Iterator[dict]:

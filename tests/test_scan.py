@@ -100,3 +100,11 @@ def test_lexer_owner_and_args():
     calls = [(r["name"], r["owner"], r["args"]) for r in rows if r["kind"] == "call"]
     assert calls == [("g", "f", ["a", "h(1, 2)"]), ("h", "f", ["1", "2"])]
     assert [r["params"] for r in rows if r["kind"] == "function"] == [["a"]]
+
+
+def test_literals_are_whole():
+    from ferrule.plans import extract
+
+    text = "k" * 900
+    for lang, code in (("python", f'x = "{text}"\n'), ("java", f'class A {{ String x = "{text}"; }}')):
+        assert any(f["kind"] == "literal" and text in f["value"] for f in extract.file_facts(code, lang))
