@@ -596,3 +596,65 @@ def q_propagate_contract(spark, sf_dir):
     sinks = read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 7").select(F.col("s_suppkey").alias("node"))
     verdict = F.when(F.col("src") % 5 != 0, F.col("src") % 3 == 0)
     return graph.propagate_contract(_edges(spark, sf_dir), sinks, verdict, 4)
+
+
+# ---- the same over all edges and events, at the depths of the operators (forward 8, backward 12, contracts 10); without SQL, tested on a fixture.
+# The suppliers that are sources and sinks stay: with every node a seed, nothing would be left to reach. ----
+
+
+def _all_edges(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"))
+    return lines.where("dst is not null").distinct()
+
+
+def _sinks(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 7").select(F.col("s_suppkey").alias("node"))
+
+
+@query()
+def q_call_graph_whole(spark, sf_dir):
+    return _all_edges(spark, sf_dir)
+
+
+@query()
+def q_roots_whole(spark, sf_dir):
+    return graph.roots(_all_edges(spark, sf_dir))
+
+
+@query()
+def q_reach_fwd_whole(spark, sf_dir):
+    return graph.closure(_all_edges(spark, sf_dir), _seeds(spark, sf_dir), 8)
+
+
+@query()
+def q_reach_back_whole(spark, sf_dir):
+    return graph.closure(graph.reverse(_all_edges(spark, sf_dir)), _sinks(spark, sf_dir), 12, include_seeds=True)
+
+
+@query()
+def q_prune_fb_whole(spark, sf_dir):
+    return graph.between(_all_edges(spark, sf_dir), _seeds(spark, sf_dir), _sinks(spark, sf_dir), 8, 12).select("node")
+
+
+@query()
+def q_entry_points_whole(spark, sf_dir):
+    return graph.entry_points(_all_edges(spark, sf_dir), _sinks(spark, sf_dir), 12)
+
+
+@query()
+def q_propagate_contract_whole(spark, sf_dir):
+    return graph.propagate_contract(_all_edges(spark, sf_dir), _sinks(spark, sf_dir), F.when(F.col("src") % 5 != 0, F.col("src") % 3 == 0), 10)
+
+
+@query()
+def q_backward_slice_whole(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = read(spark, sf_dir, "events").select(F.col("event_id").alias("node"), F.lag("event_id").over(w).alias("previous"))
+    return graph.backward_slice(steps, steps.select("node"), 12).groupBy("seed").agg(long(F.max("hop")).alias("hops"), F.min("node").alias("lowest"))
+
+
+@query()
+def q_alias_components_whole(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    return graph.components(c.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst")))
