@@ -29,7 +29,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ferrule/{uuid.uuid4().hex}/{name}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ferrule_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what materialize wrote. Only for tables that no frame still to be run reads."""
+    for t in tables:
+        path = getattr(t, "_ferrule_path", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -177,21 +188,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each step is one shuffle on the node and its result is written to the shared folder; the number of steps follows
     the logarithm of the longest path, and a hub's neighbours are only aggregated by min, never gathered."""
-    spark = edges.sparkSession
     cur = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
-    before = None
-    while True:
+    # done when every component is a star: no centre has an edge to a smaller node
+    while not cur.join(cur.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() or not cur.groupBy("u").count().where("count > 1").isEmpty():
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least.withColumn("m", F.least("m", "u")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        cur = materialize(small, "cc")
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        last, cur = cur, materialize(small, "cc")
+        discard(last)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

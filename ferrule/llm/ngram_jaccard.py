@@ -7,15 +7,19 @@ A document's set is its distinct 5-word shingles. Documents link at Jaccard >= 0
    that no other document has can't link. Shingles are dealt to buckets in packed blobs, one entry for each shingle and step
    of about 2 MB of text (a shingle that occurs twice in a step is one flagged entry, so a hot shingle costs one entry a step); a
    bucket answers each step with counts of unique shingles.
-2. Equal sets are one class from here on. Step 1 is repeated among class representatives.
-3. The shingles of what is left are ordered by a fixed-size table of counts (rare first), and a set's first n - ceil(0.75 n) + 1
-   are its prefix: linked sets share a prefix shingle. In rounds, each set's likeliest partner in another component (by the
-   bound of step 4) is verified until a round links nothing; after that only pairs from different components matter.
-4. In each group of a shared shingle, group counts (shingle hashes fall into 512 groups) are points of a bulk-loaded R-tree. The
-   sum of the coordinates' minima bounds the overlap of a query with a node and with a point; what survives is verified on
-   the full sets.
-
-Shingles and sets are known by 64-bit hashes. Cases: null or empty texts and texts without words have an empty set, size 0,
+2. Equal sets are one class from here on. Step 1 is repeated among class representatives, and from here on a set is its size and its
+   shared shingles: one that no other representative has is in no intersection, but would loosen every bound below.
+3. The shared shingles are ordered by a fixed-size table of counts (rare first) after the others, and a set's first
+   n - ceil(0.75 n) + 1 are its prefix: linked sets share a prefix shingle. Sets meet in the groups of these shingles.
+4. Group counts (shared shingles fall into 512 groups) are points of a bulk-loaded R-tree. The sum of the coordinates' minima bounds
+   the overlap of a set with a node and with a point; what survives is verified on the whole shared sets.
+   Rounds: each set's likeliest partner in another component is verified and links contract components, first among neighbours in
+   the tree's order, then over whole trees, each until a round links nothing. What is left over between components is verified pair by pair.
+
+Groups above BLOCK sets are dealt to several tasks: in the first rounds by a hash that changes with the round, later so that each set outside the
+group's largest component meets every block; two sets of one component are never compared. Shingles and sets are known by 64-bit hashes.
+
+Cases: null or empty texts and texts without words have an empty set, size 0,
 and are their own component; a null doc_id never is a component's name unless all its members lack one; repeated rows are one class; ties
 take the smallest doc_id; an empty table gives no rows; other columns are ignored.
 """
@@ -28,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, components, materialize, mix, partitions, release, shingle_sets, steps
+from .common import buffers, components, discard, materialize, mix, partitions, release, shingle_sets, steps
 
 NUMERATOR, DENOMINATOR = 75, 100
 GROUPS, LEAF, SLOTS = 512, 32, 1 << 20
-#: Of each group's sets, so many neighbours by size are looked at for a set's likeliest partner, and that along the first so many prefix shingles.
-NEAR, RANKS = 32, (2, 4, 8)
+#: In the first rounds, so many neighbours in a tree's order are looked at, in the groups of a set's first so many shared prefix shingles.
+NEAR, PLACES = 32, 8
+#: Sets of a group that meet in one task.
+BLOCK = 256
 #: Rows of two numbers that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 250_000
 _MANY = 0xFFFF
@@ -62,9 +68,14 @@ def _fingerprint(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def _unique_counts(df: DataFrame, read) -> DataFrame:
-    """df: (doc_id long, h long, content). Rows (doc_id, h, fp, n, risky): the set's fingerprint and size, and whether few enough
-    of its shingles are unique among df's rows for a link."""
+def _keys(tok: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket and 32 bits of each shingle: shingles that fall together here only look shared."""
+    return ((tok >> np.uint64(32)) % np.uint64(n_buckets)) << np.uint64(32) | (tok & np.uint64(0xFFFFFFFF))
+
+
+def _unique_in_steps(df: DataFrame, read, whole: bool, settle, schema: str) -> DataFrame:
+    """df: (doc_id long, h long, content). Which of each step's shingles no other row of df has, told to settle(table of one step's rows): `meta` is what the
+    step has sent to itself, and each bucket's `counts` are unique shingles by row, or with `whole` a bit for each entry (1: unique)."""
     n_buckets = partitions(df.sparkSession)
 
     def emit(batches):
@@ -76,7 +87,7 @@ def _unique_counts(df: DataFrame, read) -> DataFrame:
             for lo, hi, tok, at in read(batch.column(2)):
                 step, n = task << 32 | seq, np.diff(at)
                 seq += 1
-                key = ((tok >> np.uint64(32)) % np.uint64(n_buckets)) << np.uint64(32) | (tok & np.uint64(0xFFFFFFFF))
+                key = _keys(tok, n_buckets)
                 order = np.argsort(key, kind="stable")
                 key, row = key[order], np.repeat(np.arange(hi - lo), n)[order]
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -87,12 +98,14 @@ def _unique_counts(df: DataFrame, read) -> DataFrame:
                 full = np.flatnonzero(edge[1:] > edge[:-1])
                 load = [rem[edge[b] : edge[b + 1]].tobytes() + row[edge[b] : edge[b + 1]].tobytes() for b in full]
                 meta = b"".join(x.tobytes() for x in (ids[lo:hi].astype(np.int64), hs[lo:hi].astype(np.int64), _fingerprint(tok, at), n.astype(np.int64), known[lo:hi].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([*full.tolist(), seq % n_buckets], pa.int32()), pa.array([step] * (len(full) + 1), pa.int64()), pa.array([*load, None], pa.binary()), pa.array([None] * len(full) + [meta], pa.binary())], ["bucket", "step", "load", "meta"])
+                if whole:
+                    meta = np.int64(hi - lo).tobytes() + meta + tok.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([*full.tolist(), seq % n_buckets], pa.int32()), pa.array([step] * (len(full) + 1), pa.int64()), pa.array([*full.tolist(), -1], pa.int32()), pa.array([*load, None], pa.binary()), pa.array([None] * len(full) + [meta], pa.binary())], ["bucket", "step", "part", "load", "meta"])
             release()
 
     def answer(t: pa.Table) -> pa.Table:
         release()
-        steps_, loads, metas = t["step"].to_pylist(), t["load"].to_pylist(), t["meta"].to_pylist()
+        steps_, parts, loads, metas = (t[c].to_pylist() for c in ("step", "part", "load", "meta"))
         own = [i for i, x in enumerate(loads) if x is not None]
         sizes = np.array([len(loads[i]) // 6 for i in own], np.int64)
         rem = np.concatenate([np.frombuffer(loads[i], np.uint32, n) for i, n in zip(own, sizes)]) if own else np.zeros(0, np.uint32)
@@ -109,11 +122,19 @@ def _unique_counts(df: DataFrame, read) -> DataFrame:
         edge = np.concatenate([[0], np.cumsum(sizes)])
         out = []
         for j, i in enumerate(own):
-            r = row[edge[j] : edge[j + 1]][unique[edge[j] : edge[j + 1]]]
-            out.append((steps_[i], np.bincount(r).astype(np.uint16).tobytes(), None))
-        out += [(s, None, m) for s, m in zip(steps_, metas) if m is not None]
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["step", "counts", "meta"])
+            flags = unique[edge[j] : edge[j + 1]]
+            told = np.packbits(flags) if whole else np.bincount(row[edge[j] : edge[j + 1]][flags]).astype(np.uint16)
+            out.append((steps_[i], parts[i], int(sizes[j]), told.tobytes(), None))
+        out += [(s, -1, 0, None, m) for s, m in zip(steps_, metas) if m is not None]
+        return pa.table([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["step", "part", "size", "counts", "meta"])
 
+    sent = df.mapInArrow(emit, "bucket int, step long, part int, load binary, meta binary")
+    told = sent.groupBy("bucket").applyInArrow(answer, "step long, part int, size int, counts binary, meta binary")
+    return told.groupBy("step").applyInArrow(settle, schema)
+
+
+def _unique_counts(df: DataFrame, read) -> DataFrame:
+    """Rows (doc_id, h, fp, n, risky): the set's fingerprint and size, and whether few enough of its shingles are unique among df's rows for a link."""
     def settle(t: pa.Table) -> pa.Table:
         meta = next(m for m in t["meta"].to_pylist() if m is not None)
         ids, h, fp, n, known = np.frombuffer(meta, np.int64).reshape(5, -1)
@@ -125,9 +146,32 @@ def _unique_counts(df: DataFrame, read) -> DataFrame:
         risky = (n > 0) & (unique < prefix_length(n))
         return pa.table([pa.array(ids, mask=known == 0), pa.array(h), pa.array(fp), pa.array(n), pa.array(risky)], ["doc_id", "h", "fp", "n", "risky"])
 
-    sent = df.mapInArrow(emit, "bucket int, step long, load binary, meta binary")
-    told = sent.groupBy("bucket").applyInArrow(answer, "step long, counts binary, meta binary")
-    return told.groupBy("step").applyInArrow(settle, "doc_id long, h long, fp long, n long, risky boolean")
+    return _unique_in_steps(df, read, False, settle, "doc_id long, h long, fp long, n long, risky boolean")
+
+
+def _shared_sets(sets: DataFrame) -> DataFrame:
+    """sets: (fp, toks). (fp, n, toks) of those that may link; toks: the shingles, ascending, that another set has too."""
+    n_buckets = partitions(sets.sparkSession)
+
+    def settle(t: pa.Table) -> pa.Table:
+        meta = next(m for m in t["meta"].to_pylist() if m is not None)
+        rows = int(np.frombuffer(meta, np.int64, 1)[0])
+        _, fp, _, n, _ = np.frombuffer(meta, np.int64, 5 * rows, 8).reshape(5, -1)
+        tok = np.frombuffer(meta, np.uint64, -1, 8 + 40 * rows)
+        key = _keys(tok, n_buckets)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        entry = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1 if len(key) else np.zeros(0, np.int64)
+        got = sorted((p, s, c) for p, s, c in zip(*(t[c].to_pylist() for c in ("part", "size", "counts"))) if c is not None)
+        unique = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=s) for _, s, c in got]) if got else np.zeros(0, np.uint8)
+        shared = np.zeros(len(tok), bool)
+        shared[order] = unique[entry] == 0
+        left = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(n)])]
+        held = np.flatnonzero((n > 0) & (n - np.diff(left) < prefix_length(n)))
+        tok = tok[shared]
+        return pa.table([pa.array(fp[held]), pa.array(n[held]), pa.array([tok[left[i] : left[i + 1]].tobytes() for i in held], pa.binary())], ["fp", "n", "toks"])
+
+    return _unique_in_steps(sets.select(F.lit(None).cast("long").alias("doc_id"), F.col("fp").alias("h"), "toks"), _sets_of_blob, True, settle, "fp long, n long, toks binary")
 
 
 def _within(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
@@ -157,7 +201,8 @@ def _count_table(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(tok, rank, fp, n) of each set's prefix, by rising count (in powers of two), then hash."""
+    """(tok, place, rank, fp, n) of each set's shared prefix: its place there, and its rank among all of the set's shingles, of which the ones that
+    no other set has come first, the others by rising count (in powers of two), then hash."""
     level = sets.sparkSession.sparkContext.broadcast(np.log2(1 + counts.astype(np.float64)).astype(np.uint8))
 
     def run(batches):
@@ -166,46 +211,40 @@ def _prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
             for lo, hi, tok, at in _sets_of_blob(batch.column(2)):
                 row = np.repeat(np.arange(hi - lo), np.diff(at))
                 order = np.lexsort((tok, level.value[(tok >> np.uint64(44)).astype(np.int64)], row))
-                rank = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
+                place = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
+                rank = place + np.repeat(n[lo:hi] - np.diff(at), np.diff(at))
                 keep = rank < np.repeat(prefix_length(n[lo:hi]), np.diff(at))
                 r = row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(tok[order][keep].view(np.int64)), pa.array(rank[keep].astype(np.int32)), pa.array(fp[lo:hi][r]), pa.array(n[lo:hi][r])], ["tok", "rank", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(tok[order][keep].view(np.int64)), pa.array(place[keep].astype(np.int32)), pa.array(rank[keep].astype(np.int32)), pa.array(fp[lo:hi][r]), pa.array(n[lo:hi][r])], ["tok", "place", "rank", "fp", "n"])
 
-    return sets.select("fp", "n", "toks").mapInArrow(run, "tok long, rank int, fp long, n long")
+    return sets.select("fp", "n", "toks").mapInArrow(run, "tok long, place int, rank int, fp long, n long")
 
 
-def _by_token(rows: DataFrame, function, schema: str) -> DataFrame:
-    """function(token array, record batch) over whole groups of equal tok; a partition is streamed in token order, and
+def _by_group(rows: DataFrame, function, schema: str) -> DataFrame:
+    """function(group array, record batch) over whole groups (rows of equal `g`, by size); a partition is streamed in that order, and
     only the group that a batch ends in waits for the next."""
     def run(batches):
         left = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([left, t]).combine_chunks() if left is not None else t
-            tok = t["tok"].to_numpy()
-            if not len(tok):
+            g = t["g"].to_numpy()
+            if not len(g):
                 continue
-            last = int(np.searchsorted(tok, tok[-1]))
+            last = int(np.searchsorted(g, g[-1]))
             left = t.slice(last)
             if last:
-                yield from function(tok[:last], t.slice(0, last))
+                yield from function(g[:last], t.slice(0, last))
         if left is not None and left.num_rows:
-            yield from function(left["tok"].to_numpy(), left)
-
-    return rows.repartition(partitions(rows.sparkSession), "tok").sortWithinPartitions("tok", "n", "fp").mapInArrow(run, schema)
-
+            yield from function(left["g"].to_numpy(), left)
+        release()
 
-def _runs(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-    return first, np.diff(np.append(first, len(tok)))
+    return rows.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g", "n", "fp").mapInArrow(run, schema)
 
 
-def _shared(tok, t):
-    """Rows of tokens that two sets at least have."""
-    _, size = _runs(tok)
-    keep = np.repeat(size > 1, size)
-    if keep.any():
-        yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+def _runs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return first, np.diff(np.append(first, len(g)))
 
 
 def _near(n1, n2):
@@ -232,19 +271,23 @@ def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(-1, dtype=np.int64)
 
 
-def _nearest(tok, t):
-    """(a, b, likeness) of each set's likeliest partner of another component in each group, among its neighbours by size."""
+def _likely(a: np.ndarray, b: np.ndarray, like: np.ndarray):
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(like)], ["a", "b", "likeness"])
+
+
+def _nearest(g, t):
+    """(a, b, likeness) of each set's likeliest partner of another component in each group, among its neighbours in the tree's order."""
     fp, n, c = (t[x].to_numpy() for x in ("fp", "n", "component"))
     points = _points(t["counts"])
     best, with_ = np.zeros(len(fp)), np.full(len(fp), -1)
     for d in range(1, NEAR + 1):
-        i = np.flatnonzero((tok[d:] == tok[:-d]) & (c[d:] != c[:-d]) & _near(n[d:], n[:-d])) if len(tok) > d else np.zeros(0, np.int64)
+        i = np.flatnonzero((g[d:] == g[:-d]) & (c[d:] != c[:-d]) & _near(n[d:], n[:-d])) if len(g) > d else np.zeros(0, np.int64)
         if not len(i):
-            if len(tok) <= d or not (tok[d:] == tok[:-d]).any():
+            if len(g) <= d or not (g[d:] == g[:-d]).any():
                 break
             continue
-        for lo in range(0, len(i), 4096):
-            x = i[lo : lo + 4096]
+        for lo in range(0, len(i), 2048):
+            x = i[lo : lo + 2048]
             both = _bound(points[x], points[x + d])
             like = both / (n[x] + n[x + d])
             for own, other in ((x, x + d), (x + d, x)):
@@ -252,7 +295,7 @@ def _nearest(tok, t):
                 best[own[more]], with_[own[more]] = like[more], other[more]
     hit = np.flatnonzero(best * (NUMERATOR + DENOMINATOR) >= NUMERATOR)
     if len(hit):
-        yield pa.RecordBatch.from_arrays([pa.array(fp[hit]), pa.array(fp[with_[hit]]), pa.array(best[hit])], ["a", "b", "likeness"])
+        yield _likely(fp[hit], fp[with_[hit]], best[hit])
 
 
 class CountRTree:
@@ -264,46 +307,63 @@ class CountRTree:
         self.high = np.maximum.reduceat(counts, self.edge[:-1], axis=0)
         self.low_n, self.high_n = n[self.edge[:-1]], n[self.edge[1:] - 1]
 
-    def query(self, i: int) -> np.ndarray:
-        """Points after i whose overlap with it may be large enough: 7 * overlap >= 3 * (n_i + n_j)."""
-        q, n = self.counts[i], self.n[i]
-        leaves = np.flatnonzero((self.edge[1:] > i + 1) & (NUMERATOR * self.low_n <= DENOMINATOR * n))
-        if not len(leaves):
-            return leaves
+    def query(self, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points whose overlap with a set of n shingles and counts q may be large enough, 7 * overlap >= 3 * (n + n_j), and its bounds."""
+        leaves = np.flatnonzero((NUMERATOR * self.low_n <= DENOMINATOR * n) & (DENOMINATOR * self.high_n >= NUMERATOR * n))
         bound = _bound(q, self.high[leaves])
-        need = NUMERATOR * (n + np.maximum(self.low_n[leaves], n))
-        leaves = leaves[(NUMERATOR + DENOMINATOR) * bound >= need]
+        leaves = leaves[(NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n + np.maximum(self.low_n[leaves], -(-NUMERATOR * n // DENOMINATOR)))]
         if not len(leaves):
-            return leaves
-        at = np.concatenate([np.arange(max(self.edge[k], i + 1), self.edge[k + 1]) for k in leaves])
+            return leaves, leaves
+        at = np.concatenate([np.arange(self.edge[k], self.edge[k + 1]) for k in leaves])
         at = at[_near(self.n[at], n)]
         bound = _bound(q, self.counts[at])
-        return at[(NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n + self.n[at])]
+        ok = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n + self.n[at])
+        return at[ok], bound[ok]
 
 
-def _crossing(tok, t):
-    """Pairs from different components in each group that the R-tree leaves. The first shingle that two linked sets share comes early in both: at
-    most n - overlap shingles are before it, so later ones needn't name the pair again."""
-    fp, n, c, rank = (t[x].to_numpy() for x in ("fp", "n", "component", "rank"))
+def _found(g, t):
+    """For each set outside its group's largest component, the places of all points of other components that the R-tree leaves, and their bounds. The first
+    shingle that two linked sets share comes early in both: at most n - overlap shingles are before it, so in later groups the pair needn't be found again."""
+    n, c, main, rank = (t[x].to_numpy() for x in ("n", "component", "main", "rank"))
     points = _points(t["counts"])
-    a, b = [], []
-    for lo, size in zip(*_runs(tok)):
-        own = slice(lo, lo + size)
-        if (c[own] == c[lo]).all():
+    for lo, size in zip(*_runs(g)):
+        foreign = np.flatnonzero(c[lo : lo + size] != main[lo])
+        if not len(foreign) or (c[lo : lo + size] == c[lo]).all():
             continue
-        tree = CountRTree(points[own], n[own])
-        for i in range(size - 1):
-            at = lo + tree.query(i)
-            at = at[c[at] != c[lo + i]]
-            least = -(-NUMERATOR * (n[lo + i] + n[at]) // (NUMERATOR + DENOMINATOR))
-            at = at[(rank[lo + i] <= n[lo + i] - least) & (rank[at] <= n[at] - least)]
-            a.append(np.full(len(at), fp[lo + i]))
-            b.append(fp[at])
+        tree = CountRTree(points[lo : lo + size], n[lo : lo + size])
+        for i in foreign + lo:
+            at, bound = tree.query(points[i], n[i])
+            at = at + lo
+            least = -(-NUMERATOR * (n[i] + n[at]) // (NUMERATOR + DENOMINATOR))
+            ok = (c[at] != c[i]) & (rank[i] <= n[i] - least) & (rank[at] <= n[at] - least)
+            if ok.any():
+                yield i, at[ok], bound[ok]
+
+
+def _best(g, t):
+    """(a, b, likeness) of the likeliest partner that _found has for each set and group."""
+    fp, n = t["fp"].to_numpy(), t["n"].to_numpy()
+    out = []
+    for i, at, bound in _found(g, t):
+        like = bound / (n[i] + n[at])
+        k = like.argmax()
+        out.append((fp[i], fp[at[k]], like[k]))
+    if out:
+        a, b, like = (np.array(x) for x in zip(*out))
+        yield _likely(a, b, like)
+
+
+def _every(g, t):
+    """(a, b) of all pairs that _found has."""
+    fp = t["fp"].to_numpy()
+    a, b = [], []
+    for i, at, _ in _found(g, t):
+        a.append(np.full(len(at), fp[i]))
+        b.append(fp[at])
     if a:
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _counts(sets: DataFrame) -> DataFrame:
@@ -316,51 +376,95 @@ def _counts(sets: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by their whole sets."""
+    """The pairs that link, by their whole sizes and shared shingles."""
     def run(batches):
         for batch in batches:
-            x, xo = buffers(batch.column(2))
-            y, yo = buffers(batch.column(3))
+            n1, n2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            x, xo = buffers(batch.column(4))
+            y, yo = buffers(batch.column(5))
             ok = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 p, q = x[xo[i] : xo[i + 1]].view(np.uint64), y[yo[i] : yo[i + 1]].view(np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                ok[i] = DENOMINATOR * both >= NUMERATOR * (len(p) + len(q) - both)
+                ok[i] = DENOMINATOR * both >= NUMERATOR * (n1[i] + n2[i] - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
+            release()
 
-    x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("toks").alias("x")), "a")
-    return x.join(sets.select(F.col("fp").alias("b"), F.col("toks").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _links(sets: DataFrame) -> DataFrame:
-    """Edges between sets whose components are those of all links."""
-    shared = materialize(_by_token(_prefixes(sets, _count_table(sets)), _shared, "tok long, rank int, fp long, n long"), "shared")
-    spark = sets.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
+    x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("toks").alias("x")), "a")
+    x = x.join(sets.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("toks").alias("y")), "b")
+    return x.select("a", "b", "n1", "n2", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (fp, component; a set that names its component has no row) after links between sets: components are contracted first."""
+    if labels is None:
+        return components(links).withColumnRenamed("node", "fp")
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("fp").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+    moved = components(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = labels.join(moved, "component", "left").select("fp", F.coalesce("to", "component").alias("component"))
+    out = materialize(known.unionByName(moved.select(F.col("component").alias("fp"), F.col("to").alias("component"))), "labels")
+    discard(moved, labels)
+    return out
+
+
+def _dealt(shared: DataFrame, labels: DataFrame | None, counts: DataFrame, turn: int | None) -> DataFrame | None:
+    """Rows (g, ..., component, counts) of the groups in which components meet, or None if there is no such group. turn: the number of a first round, which deals
+    large groups by a hash; else every set outside its group's largest component (`main`) goes to each of its group's blocks."""
+    named = shared.withColumn("component", F.col("fp")) if labels is None else shared.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    if turn is not None:
+        named = named.where(F.col("place") < PLACES)
+    named = materialize(named, "named")
+    each = named.groupBy("tok", "component").agg(F.count("*").alias("c")).groupBy("tok")
+    mixed = each.agg(F.count("*").alias("kinds"), F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("m")).where("kinds > 1")
+    rows = materialize(named.join(mixed.select("tok", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("m.component").alias("main")), "tok"), "rest")
+    discard(named)
+    if rows.isEmpty():
+        discard(rows)
+        return None
+    own = F.pmod(F.xxhash64("fp", F.lit(turn or 0)), "blocks").cast("int")
+    block = own if turn is not None else F.explode(F.when(F.col("component") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.withColumn("block", block).select(F.xxhash64("tok", "block").alias("g"), "fp", "n", "component", "main", "rank")
+    out = dealt.join(counts, "fp")
+    out._ferrule_path = rows._ferrule_path
+    return out
+
+
+def _linked(sets: DataFrame) -> DataFrame:
+    """(fp, component) of the sets that link, but for those that name their component."""
+    prefix = materialize(_prefixes(sets, _count_table(sets)), "prefix")
+    shared = materialize(prefix.join(prefix.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1").select("tok"), "tok", "left_semi"), "shared")
+    discard(prefix)
     counts = materialize(_counts(sets.join(shared.select("fp").distinct(), "fp", "left_semi")), "counts")
-    named = shared.withColumn("component", F.col("fp"))
-
-    def meeting(rows: DataFrame) -> DataFrame:
-        """Rows of the groups in which components meet, with their points."""
-        mixed = rows.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
-        rows = materialize(rows.join(mixed, "tok", "left_semi").select("tok", "rank", "fp", "n", "component"), "rest")
-        return rows.join(counts, "fp")
-
-    # each round links every set to its likeliest partner elsewhere, so what can merge at least halves; a round without a link ends it
-    turn = 0
-    while True:
-        likely = _by_token(meeting(named.where(F.col("rank") < RANKS[min(turn, len(RANKS) - 1)])), _nearest, "a long, b long, likeness double")
-        forest = likely.groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-        new = materialize(_verify(forest, sets), "links")
-        edges = edges.unionByName(new)
+    labels, turn, rounds, left = None, 0, [(_nearest, True), (_best, False)], True
+    while rounds and left:
+        function, first = rounds[0]
+        rows, links = _dealt(shared, labels, counts, turn if first else None), None
         turn += 1
-        if new.isEmpty() and turn >= len(RANKS):
-            break
-        named = shared.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    pairs = _by_token(meeting(named), _crossing, "a long, b long").distinct()
-    return edges.unionByName(_verify(materialize(pairs, "pairs"), sets))
+        if rows is not None:
+            likely = _by_group(rows, function, "a long, b long, likeness double")
+            forest = materialize(likely.groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), "forest")
+            discard(rows)
+            left = first or not forest.isEmpty()
+            links = materialize(_verify(forest, sets), "links") if not forest.isEmpty() else None
+            discard(forest)
+        else:
+            left = first
+        if links is None or links.isEmpty():  # look over whole trees, then at each pair
+            rounds.pop(0)
+        else:
+            labels = _relabel(labels, links)
+        discard(links)
+    rows = _dealt(shared, labels, counts, None) if left else None
+    if rows is not None:
+        links = materialize(_verify(_by_group(rows, _every, "a long, b long").distinct(), sets), "links")
+        discard(rows)
+        labels = labels if links.isEmpty() else _relabel(labels, links)
+        discard(links)
+    discard(shared, counts)
+    return labels if labels is not None else sets.sparkSession.createDataFrame([], "fp long, component long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -379,9 +483,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_fingerprint(tok, at)), pa.array(n), pa.array([tok[at[i] : at[i + 1]].tobytes() for i in range(len(n))], pa.binary())], ["fp", "n", "toks"])
 
     wide = materialize(again.select("text").mapInArrow(sets, "fp long, n long, toks binary").dropDuplicates(["fp"]), "sets")
-    held = _unique_counts(wide.select(F.lit(None).cast("long").alias("doc_id"), F.col("fp").alias("h"), "toks"), _sets_of_blob).where("risky").select(F.col("h").alias("fp"))
-    wide = materialize(_within(wide, materialize(held, "held"), ["fp"]), "sets")
-    named = components(_links(wide)).withColumnRenamed("node", "fp")
+    held = materialize(_shared_sets(wide), "held")
+    discard(wide)
+    named = _linked(held)
+    discard(held)
     risky = seen.where("risky").join(named, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = risky.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = risky.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -56,7 +56,7 @@ def test_tree_bound_keeps_every_link():
     tree = ngram_jaccard.CountRTree(counts.astype(np.uint16), n)
     linked = 0
     for i in range(len(sets)):
-        left = set(tree.query(i).tolist())
+        left = set(tree.query(counts[i].astype(np.uint16), n[i])[0].tolist())
         for j in range(i + 1, len(sets)):
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 75 * (n[i] + n[j] - both):
