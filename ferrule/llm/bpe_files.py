@@ -8,8 +8,8 @@ Texts are cut in pre-tokens by the vocabulary's own pattern, in numpy over code
 that were not seen before are given to the tokenizer, which treats pre-tokens independently: the ids are those of the whole text.
 
 Cases: a null text is empty; each document gets end_id (also an empty one); equal doc_ids lie side by side in text order; null
-doc_ids come first; an empty table gives no rows; special tokens' strings in a text are ordinary text; extra columns are
-left out.
+doc_ids come first; an empty table gives no rows; special tokens' strings in a text are ordinary text; bytes that are
+no UTF-8 count as U+FFFD; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -137,7 +137,12 @@ class PretokenIds:
 def encode(path: str, buf: np.ndarray, off: np.ndarray, end_id: int, cache: PretokenIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each row (UTF-8) with end_id after it: values and len + 1 offsets. The cache is the caller's, to be kept."""
     rows = len(off) - 1
-    text = buf.tobytes().decode("utf-8")
+    try:
+        text = buf.tobytes().decode("utf-8")
+    except UnicodeDecodeError:  # U+FFFD for what is no UTF-8, row by row
+        raw = [buf[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(off[:-1], off[1:])]
+        buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        text = buf.tobytes().decode("utf-8")
     chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     char_off = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off]
     at, row = pretokens(chars, char_off)

@@ -10,7 +10,8 @@ Pieces hold a blank where the vocabulary writes U+2581; every byte has a byte pi
 breaks and any other character survive: decoding gives the very bytes back.
 
 Cases: null and empty texts have no pieces; a null key is a key of its own; equal rows with equal keys get equal pieces; very long
-segments are handled place by place; an empty table gives no rows; extra columns pass by.
+segments are handled place by place; bytes that aren't valid UTF-8 are byte pieces and come back as they were; a model with a piece that holds a blank
+after another character is rejected (a text is cut there); an empty table gives no rows; extra columns pass by.
 """
 
 from __future__ import annotations
@@ -46,10 +47,11 @@ class Vocabulary:
                 self.byte_ids[self.bytes[i][0]] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 raw = sp.id_to_piece(i).replace("▁", " ").encode()
-                if b" " not in raw.lstrip(b" "):  # never crosses from a character to a blank
-                    self.bytes[i] = raw
-                    plain.append(i)
-                    logw[i] = sp.get_score(i)
+                if b" " in raw.lstrip(b" "):
+                    raise ValueError(f"piece {i} holds a blank after another character: texts can't be cut there")
+                self.bytes[i] = raw
+                plain.append(i)
+                logw[i] = sp.get_score(i)
         ranks = min(logw[plain]) < -1000
         logw[plain] = -np.log(2 - logw[plain]) if ranks else logw[plain]
         self.floor = float(min(logw[plain]) - 4)
@@ -85,8 +87,8 @@ class Vocabulary:
 
     def lattice(self, buf: np.ndarray, off: np.ndarray):
         """Lattices of segments, longest first. Node i of segment s is off[s] + s + i. Edges are sorted by end node, then by length, so their
-        order doesn't depend on the other segments: source node, piece, and the edge's share of its end node's weight summed up over the node's
-        edges so far, plus the node's number."""
+        order doesn't depend on the other segments: source node, piece, and a whole number: the node's in the upper bits, and in the lower 32 the edge's
+        share of its end node's weight, summed up over the node's edges so far, so that no bit of it depends on other nodes."""
         n, segs = len(buf), len(off) - 1
         size = np.diff(off)
         seg = np.repeat(np.arange(segs, dtype=np.int32), size)
@@ -130,12 +132,13 @@ class Vocabulary:
             total = np.add.reduceat(x, cut)
             alpha[node] = top + np.log(total)
             share[e] = x / np.repeat(total, per)
-        # shares summed over the nodes' edges: a node's sum ends at exactly its number + 1
-        run = np.cumsum(share)
         lead = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if n else np.zeros(0, np.int64)
         per = np.diff(np.append(lead, len(dst)))
-        cum = run - np.repeat(run[lead] - share[lead], per) + dst
-        cum[lead + per - 1] = dst[lead] + 1.0
+        for j in range(1, int(per.max()) if n else 0):  # summed within each node, edge by edge
+            e = lead[per > j] + j
+            share[e] += share[e - 1]
+        cum = (dst.astype(np.int64) << 32) + np.minimum(share * 2.0**32, 2.0**32 - 1).astype(np.int64)
+        cum[lead + per - 1] = (dst[lead].astype(np.int64) + 1) << 32
         return src, ids, cum
 
     def sample(self, buf: np.ndarray, off: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +172,8 @@ class Vocabulary:
         drawn, who = [], []
         k = 0
         while len(occ):
-            u = (mix(stream[occ] + np.uint64(k * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(cum, node + u, side="right")
+            u = (mix(stream[occ] + np.uint64(k * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(32)).astype(np.int64)
+            e = np.searchsorted(cum, (node.astype(np.int64) << 32) + u, side="right")
             drawn.append(ids[e])
             who.append(occ)
             node = src[e]
@@ -205,7 +208,7 @@ def encode(docs: DataFrame, path: str, keep: list[str | Column], key: Column | N
         for batch in batches:
             k = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             buf, off = buffers(batch.column(batch.num_columns - 1))
-            for lo, hi in steps(off, 1 << 20):
+            for lo, hi in steps(off, 1 << 19):
                 part = buf[off[lo] : off[hi]]
                 ids, at = vocabulary.sample(part, off[lo : hi + 1] - off[lo], k[lo:hi], seed)
                 back, back_at = vocabulary.decode(ids, at)
@@ -232,8 +235,8 @@ def decode(coded: DataFrame, path: str, keep: list[str | Column]) -> DataFrame:
             ids = batch.column(batch.num_columns - 1)
             at = ids.offsets.to_numpy().astype(np.int64)
             out, to = vocabulary.decode(ids.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0])
-            raw = out.tobytes()
-            text = [raw[a:b].decode() for a, b in zip(to[:-1].tolist(), to[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.string())], [*(f.name for f in own), "text"])
+            # the very bytes, whether they are valid UTF-8 or not
+            text = pa.Array.from_buffers(pa.string(), batch.num_rows, [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], [*(f.name for f in own), "text"])
 
     return given.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own) + "text string")

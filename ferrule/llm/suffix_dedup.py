@@ -8,8 +8,8 @@
 2. Only groups with different contexts need suffix order. Their contexts are dealt by anchor and gathered in units; a unit is two
    or more shards, each with the Burrows-Wheeler transform of its own contexts over an alphabet of 40-byte blocks (the symbol before suffix
    p is the block that starts at p - 40). Shards are merged two by two by refining their interleave: pass h takes the interleave that is
-   right for h blocks, pulls each suffix's preceding block and deals the shard bits stably by it, which is right for h + 1. No suffix is sorted
-   again. The classes met on the way give the common prefix in blocks; after 5 passes (200 bytes) the classes of two or more
+   right for h blocks, pulls each suffix's preceding block and deals the shard bits into the blocks' buckets (two passes over 16-bit digits, no
+   comparison), which is right for h + 1. No suffix is sorted again. The classes met on the way give the common prefix in blocks; after 5 passes (200 bytes) the classes of two or more
    occurrences are the repeated intervals.
 3. Window starts in repeated intervals, and those of whole contexts, become byte spans of each text.
 
@@ -32,7 +32,7 @@ from .common import _LUT, buffers, materialize, mix, partitions, release, spans_
 
 WINDOW, GRAM, BLOCK = 200, 64, 40
 PASSES = WINDOW // BLOCK
-STEP, UNIT = 1 << 20, 1 << 20
+STEP, UNIT = 1 << 20, 1 << 19
 #: Bits of an anchor's comparison key that hold its place: texts and steps up to 256 MB.
 _POSITION = 28
 
@@ -172,6 +172,13 @@ class Shard:
         self.order, self.before, self.tail = order, before, tail
 
 
+def _deal(symbol: np.ndarray) -> np.ndarray:
+    """Places in the order of small non-negative numbers, equal ones in their own order: dealt by their low 16 bits, then by the high ones."""
+    order = np.argsort((symbol & 0xFFFF).astype(np.uint16), kind="stable")  # of 16-bit numbers: a radix pass
+    high = (symbol >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if len(high) and high.max() else order
+
+
 def build_shard(symbol: np.ndarray, has_next: np.ndarray, ids: np.ndarray, previous: np.ndarray) -> Shard:
     """ids: the suffixes (positions of a unit's bytes) of this shard, in text order. symbol: block rank at each position;
     has_next: whether position + BLOCK is in the same context; previous: position - BLOCK or -1."""
@@ -180,7 +187,7 @@ def build_shard(symbol: np.ndarray, has_next: np.ndarray, ids: np.ndarray, previ
     for _ in range(PASSES):
         p = previous[order]
         p = np.concatenate([tails, p[p >= 0]])
-        order = p[np.argsort(symbol[p], kind="stable")]
+        order = p[_deal(symbol[p])]
     p = previous[order]
     return Shard(order, np.where(p >= 0, symbol[np.maximum(p, 0)], -1), symbol[tails])
 
@@ -200,7 +207,7 @@ def merge(a: Shard, b: Shard) -> tuple[Shard, np.ndarray]:
         bit = np.concatenate([virtual, from_b[has]])
         # one block is the same whether the text ends after it or not; more blocks are not
         after = np.concatenate([np.full(len(tails), -1 if depth else 0), klass[has]])
-        to = np.argsort(block, kind="stable")
+        to = _deal(block)
         from_b, block, after = bit[to], block[to], after[to]
         klass = np.cumsum(np.concatenate([[0], (block[1:] != block[:-1]) | (after[1:] != after[:-1])]))
     order = np.empty(len(from_b), np.int64)
@@ -210,25 +217,25 @@ def merge(a: Shard, b: Shard) -> tuple[Shard, np.ndarray]:
     return Shard(order, before, tails), klass
 
 
-def repeated_starts(texts: list[bytes], weights: np.ndarray, counts: np.ndarray, shards: int = 2) -> list[np.ndarray]:
-    """For each context (its first counts[i] positions are window starts), which starts' windows occur twice at least in all contexts, weights
-    counted."""
-    size = np.array([len(t) for t in texts], np.int64)
+def repeated(buf: np.ndarray, size: np.ndarray, weights: np.ndarray, shards: int = 2) -> np.ndarray:
+    """For each byte of the contexts in buf, one after another, whether the WINDOW bytes from it (they must lie in its context) occur twice at least in
+    all contexts, weights counted."""
     edge = np.concatenate([[0], np.cumsum(size)])
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    pos = np.arange(len(buf))
-    text = np.repeat(np.arange(len(texts)), size)
-    left = edge[text + 1] - pos
+    pos = np.arange(len(buf), dtype=np.int32)
+    text = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    left = (edge[1:].astype(np.int32))[text] - pos
     width = np.minimum(left, BLOCK)
     block = spans_hash(_LUT[buf], pos, pos + width) + width.astype(np.uint64)
     symbol = np.unique(block, return_inverse=True)[1].astype(np.int32)
+    del block, width
     has_next = left > BLOCK
-    previous = np.where(pos - BLOCK >= edge[text], pos - BLOCK, -1)
-    cuts = np.searchsorted(edge, np.linspace(0, len(buf), min(shards, len(texts)) + 1)[1:-1])
+    previous = np.where(pos - BLOCK >= (edge[:-1].astype(np.int32))[text], pos - BLOCK, np.int32(-1))
+    cuts = np.searchsorted(edge, np.linspace(0, len(buf), min(shards, len(size)) + 1)[1:-1])
     cuts = np.unique(np.concatenate([[0], edge[cuts], [len(buf)]]))
     parts = [build_shard(symbol, has_next, pos[a:b], previous) for a, b in zip(cuts[:-1], cuts[1:])]
     if len(parts) == 1:
         parts.append(build_shard(symbol, has_next, pos[:0], previous))
+    del symbol, has_next, previous, left
     while len(parts) > 1:
         nxt, klass = [], None
         for i in range(0, len(parts) - 1, 2):
@@ -239,45 +246,65 @@ def repeated_starts(texts: list[bytes], weights: np.ndarray, counts: np.ndarray,
     total = np.bincount(klass, weights=weights[text[order]])
     twice = np.zeros(len(buf), bool)
     twice[order] = total[klass] >= 2
-    return [twice[edge[i] : edge[i] + counts[i]] for i in range(len(texts))]
-
-
-def _runs_of(flags: np.ndarray, first: int) -> np.ndarray:
-    """(start, starts) of the runs of true flags."""
-    x = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return np.stack([x[::2] + first, x[1::2] - x[::2]], 1).astype(np.int32)
+    return twice
+
+
+def _unit(t: pa.Table) -> pa.RecordBatch | None:
+    """Spans (k1, k2, spans) of the rows of whole anchor groups. Equal contexts are one string with their summed weight."""
+    buf, off = buffers(t["bytes"])
+    first, count, several = (t[c].to_numpy() for c in ("first", "count", "several"))
+    size = np.diff(off)
+    known = mix(spans_hash(_LUT[buf], off[:-1], off[1:]) + t["anchor"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
+    _, own, kind = np.unique(known, return_index=True, return_inverse=True)
+    weights = np.bincount(kind, weights=1 + several)
+    at = np.concatenate([[0], np.cumsum(size[own])])
+    twice = repeated(buf[np.repeat(off[own] - at[:-1], size[own]) + np.arange(at[-1])], size[own], weights)
+    # runs of repeated window starts in each kind of context; what lies after its starts is no start
+    start = np.arange(at[-1]) - np.repeat(at[:-1], size[own])
+    twice &= start < np.repeat(count[own], size[own])
+    lead, stop = twice.copy(), twice.copy()
+    lead[1:] &= ~twice[:-1] | (start[1:] == 0)
+    stop[:-1] &= ~twice[1:] | (start[1:] == 0)
+    lead, stop = np.flatnonzero(lead), np.flatnonzero(stop) + 1
+    per = np.bincount(np.searchsorted(at, lead, side="right") - 1, minlength=len(own))
+    run = np.concatenate([[0], np.cumsum(per)])
+    hit = np.flatnonzero(per[kind])
+    if not len(hit):
+        return None
+    n = per[kind[hit]]
+    to = np.concatenate([[0], np.cumsum(n)])
+    pick = np.repeat(run[kind[hit]] - to[:-1], n) + np.arange(to[-1])
+    spans = np.stack([start[lead[pick]] + np.repeat(first[hit], n), stop[pick] - lead[pick]], 1).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer((to * 8).astype(np.int32)), pa.py_buffer(spans)])
+    return pa.RecordBatch.from_arrays([t["k1"].combine_chunks().take(pa.array(hit)), t["k2"].combine_chunks().take(pa.array(hit)), blobs], ["k1", "k2", "spans"])
 
 
 def _solve(batches):
     """(anchor, k1, k2, first, count, several, bytes) sorted by anchor -> (k1, k2, spans). Whole anchor groups are gathered to units."""
-    def unit(rows):
-        # equal contexts are one string with their summed weight
-        same: dict = {}
-        for j, r in enumerate(rows):
-            same.setdefault((r[0], r[4], r[6]), []).append(j)
-        kinds = list(same)
-        weights = np.array([sum(1 + rows[j][5] for j in same[k]) for k in kinds], np.float64)
-        found = repeated_starts([k[2] for k in kinds], weights, np.array([k[1] for k in kinds]))
-        for k, flags in zip(kinds, found):
-            if flags.any():
-                for j in same[k]:
-                    yield rows[j][1], rows[j][2], _runs_of(flags, rows[j][3]).tobytes()
-
-    def out(got):
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["k1", "k2", "spans"])
-
-    held, size = [], 0
+    left = None
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if size > UNIT and r[0] != held[-1][0]:
-                yield from out(list(unit(held)))
-                held, size = [], 0
-                release()
-            held.append(r)
-            size += len(r[6])
-    if held:
-        yield from out(list(unit(held)))
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([left, t]).combine_chunks() if left is not None else t
+        if not t.num_rows:
+            continue
+        anchor, done = t["anchor"].to_numpy(), 0
+        size = np.cumsum(np.diff(buffers(t["bytes"])[1]))
+        ends = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1  # of all groups but the last
+        while True:
+            k = np.searchsorted(size[ends - 1], (size[done - 1] if done else 0) + UNIT) if len(ends) else 0
+            if k >= len(ends):
+                break
+            out = _unit(t.slice(done, ends[k] - done))
+            done = int(ends[k])
+            if out is not None:
+                yield out
+            release()
+        left = t.slice(done)
+    if left is not None and left.num_rows:
+        out = _unit(left)
+        if out is not None:
+            yield out
+    release()
 
 
 def _emit(batches):

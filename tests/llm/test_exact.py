@@ -98,9 +98,12 @@ def test_merge_is_suffix_order():
     texts = [a[:600], a[100:700], a[300:900], b"z" * 450]
     counts = np.array([len(t) - 199 for t in texts])
     seen = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    buf, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    edge = np.concatenate([[0], np.cumsum(size)])
     for shards in (1, 2, 3, 4):
-        got = suffix_dedup.repeated_starts(texts, np.ones(4), counts, shards)
-        for t, flags in zip(texts, got):
+        got = suffix_dedup.repeated(buf, size, np.ones(4), shards)
+        for t, a, c in zip(texts, edge, counts):
+            flags = got[a : a + c]
             assert flags.tolist() == [seen[t[k : k + 200]] > 1 for k in range(len(t) - 199)]
 
 
@@ -318,3 +321,34 @@ def test_ids_do_not_depend_on_partitions(corpus):
     one = histogram_sort.histogram_shards(corpus.repartition(1), 4).groupBy("shard").agg(F.sum("size")).collect()
     two = histogram_sort.histogram_shards(corpus.repartition(5), 4).groupBy("shard").agg(F.sum("size")).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
+def test_bytes_that_are_no_utf8(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, b"caf\xe9 \xff\xfe x"), (2, b"plain words"), (3, b"\xc3")], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"), "raw")
+    path = vocabulary("piece_bpe_32k.model")
+    coded = piece_sampling.encode(docs, path, ["doc_id", "raw"])
+    assert coded.where("not lossless").count() == 0
+    assert piece_sampling.decode(coded, path, ["raw"]).where(F.col("text").cast("binary") != F.col("raw")).count() == 0
+    got = {r.doc_id: r.n_tokens for r in bpe_files.encoded(docs, vocabulary("byte_bpe_50k.json")).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == 3
+
+
+def test_a_model_with_inner_blanks_is_rejected(monkeypatch):
+    import sentencepiece
+
+    class Model:
+        def __init__(self, model_file):
+            pass
+
+        get_piece_size = lambda self: 2
+        is_byte = is_control = is_unknown = is_unused = lambda self, i: False
+        id_to_piece = lambda self, i: ["a", "a▁b"][i]
+        get_score = lambda self, i: -1.0
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    import pytest
+
+    with pytest.raises(ValueError):
+        piece_sampling.Vocabulary("any")
