@@ -77,6 +77,29 @@ def steps(off: np.ndarray, most: int = STEP_BYTES, rows: int = 60_000) -> Iterat
         lo = hi
 
 
+def cut_rows(buf: np.ndarray, off: np.ndarray, most: int, *ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows above `most` bytes in pieces of at most that: offsets, and the row of each piece. A piece ends after the last byte of the first of ends' classes that its
+    second half has; failing all, between two characters."""
+    if not (np.diff(off) > most).any():
+        return off, np.arange(len(off) - 1)
+    cuts, owner = [int(off[0])], []
+    for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        while b - a > most:
+            half = buf[a + most // 2 : a + most]
+            for kind in (*ends, None):
+                at = np.flatnonzero(kind[half]) if kind is not None else np.flatnonzero((buf[a + most // 2 + 1 : a + most + 1] & 0xC0) != 0x80)
+                if len(at):
+                    a += most // 2 + int(at[-1]) + 1
+                    break
+            else:
+                a += most
+            cuts.append(a)
+            owner.append(i)
+        cuts.append(b)
+        owner.append(i)
+    return np.array(cuts, np.int64), np.array(owner, np.int64)
+
+
 def release() -> None:
     """Give memory that numpy and Arrow have freed back to the system: workers live on between stages, and several share an executor."""
     pa.default_memory_pool().release_unused()

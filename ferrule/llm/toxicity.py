@@ -1,17 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut in clauses and each clause is read as a sequence of word classes. Four small weighted transducers are composed
-once into one machine: insult and threat (emit an event), target (an event near a second-person word or name-calling noun
-phrase is aimed at someone), negation (an event in the scope of a negator) and reported speech (an event inside a quotation or after a
-verb of saying). The composed machine turns a clause into events (kind, aimed, negated, reported); a text's events, not its
-words, are scored by a logistic layer whose weights start from the grammar's own and are fitted on labels.
-
-The insult class is a fixed seed list plus words and word beginnings induced from labelled rows: in many toxic rows, in
+A text is cut in clauses and each clause is read as a sequence of word classes. Five small weighted transducers stand in a cascade, each reading what the
+one before writes: insult and threat turn words into events, target marks an event with a second-person word near it on either side,
+negation an event in the scope of a negator, reported speech an event inside a quotation or after a verb of saying. They are composed into one
+deterministic machine whose transitions carry the summed weights; a clause's weight is that of its path and of the end. Only a clause
+above 0 is matched, and a text's score comes from its matched clauses alone: words that match no clause add nothing.
+
+The weights start from the grammar's own, with which a clause needs an event that is aimed at someone, and are fitted on labelled rows (negation and reported
+speech can only lower a clause). The insult class is a fixed seed list plus words and word beginnings induced from labelled rows: in many toxic rows, in
 different contexts (near copies of one row are one piece of evidence), and in no clean one.
 
-Cases: null and empty texts have no event and get the base score; a text is read whole; a clause ends at . ! ? ; or a line
-break; repeated rows score equally; empty tables give no rows; without labels the seed grammar alone scores; extra
-columns pass by.
+Cases: null and empty texts have no clause and get the base score; a text is read whole, in pieces cut at ends of clauses if it is above PIECE bytes (a longer
+clause is cut at a blank); case is folded in Unicode; a clause ends at . ! ? ; or a line break; repeated rows score equally; bytes that are no UTF-8 count as
+U+FFFD; empty tables give no rows; without labels the seed grammar alone scores; extra columns pass by.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
-from .common import LOWER, _LUT, buffers, release, spans_hash, steps, with_text
+from .common import LOWER, _LUT, buffers, cut_rows, release, spans_hash, steps, with_text
 
 #: Labelled rows of each class that the grammar is fitted on, at most about.
 FIT_ROWS = 3000
+PIECE = 1 << 20
 
 # The grammar's closed word classes.
 SEED_INSULTS = "idiot moron loser scum trash pathetic worthless disgusting stupid clown".split()
@@ -33,89 +36,110 @@ THREATS = "kill hurt destroy beat burn stab shoot strangle töten umbringen tuer
 TARGETS = "you your yours yourself du dich dir dein deine ihr euch tu te toi vous votre tú ti usted ustedes vosotros".split()
 NEGATORS = "not no never isn't aren't don't nicht kein keine nie pas jamais ne aucun nunca jamás ni".split()
 REPORTERS = "said says say claimed wrote reported quoted sagte sagt schrieb dit écrit affirmé dijo dice escribió".split()
+SELF = "i we i'll we'll ich wir je nous yo nosotros".split()
 
-#: Words after a negator or a verb of saying, and around a target, that an event is still in the scope of.
+#: Words after a negator, a verb of saying or a first person, and around a target, that an event is still in the scope of.
 SCOPE = 4
-FREE, INSULT, THREAT, TARGET, NEGATOR, REPORTER, QUOTE = range(7)
-#: Weight of an event before any label is seen: (kind, aimed, negated, reported).
-PRIOR = {"insult": 2.5, "threat": 2.0, "aimed": 1.0, "negated": -2.0, "reported": -2.0}
+FREE, INSULT, THREAT, TARGET, NEGATOR, REPORTER, QUOTE, FIRST = range(8)
+#: What the first two transducers write for a word that is an event.
+EVENT = 8
+#: The transitions' weights before any label is seen; `end` is the weight of a clause's end, `base` a text's without a matched clause.
+PRIOR = {"insult": 0.15, "threat": 0.1, "by_first": 1.0, "aimed": 2.0, "negated": -2.2, "reported": -2.2, "end": -1.0, "base": -2.5}
+ARCS = ("insult", "threat", "by_first", "aimed", "negated", "reported")
+#: A matched clause's effect on a text: GAIN * log(1 + summed weights of matched clauses).
+GAIN = 4.0
 
 
 class Transducer:
-    """Deterministic weighted transducer over word classes: (state, class) -> (state, flag). A state is a small tuple."""
+    """Deterministic weighted transducer: (state, symbol) -> (state, symbol, arcs). The weight of a transition is the sum of the weights named by arcs, a number of
+    20 binary digits for each of ARCS."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
 
-    def compose(self, other: "Transducer") -> "Transducer":
-        """Both read the same class; flags add up. The product's states are made when first met and kept."""
+    def compose(self, after: "Transducer") -> "Transducer":
+        """What this one writes, the other reads; weights add up. The product's states are made when first met and kept."""
         cache: dict = {}
 
-        def step(state, kind):
-            if (state, kind) not in cache:
-                (a, x), (b, y) = self.step(state[0], kind), other.step(state[1], kind)
-                cache[state, kind] = ((a, b), x | y)
-            return cache[state, kind]
+        def step(state, symbol):
+            got = cache.get((state, symbol))
+            if got is None:
+                a, mid, x = self.step(state[0], symbol)
+                b, out, y = after.step(state[1], mid)
+                got = cache[state, symbol] = ((a, b), out, x + y)
+            return got
+
+        return Transducer((self.start, after.start), step)
 
-        return Transducer((self.start, other.start), step)
 
+def _arc(name: str, times: int = 1) -> int:
+    return times << 20 * ARCS.index(name)
 
-EVENT_INSULT, EVENT_THREAT, AIMED, NEGATED, REPORTED = 1, 2, 4, 8, 16
 
+def _insult() -> Transducer:
+    return Transducer(0, lambda s, x: (s, EVENT, _arc("insult")) if x == INSULT else (s, x, 0))
 
-def _scope(opener: int, flag: int, closed_by: int | None = None) -> Transducer:
-    """Flags the words up to SCOPE after an opener."""
-    def step(left, kind):
-        if kind == opener:
-            return SCOPE, 0
-        return max(0, left - 1), flag if left else 0
+
+def _threat() -> Transducer:
+    """A state is the words left in which a first person still makes a threat."""
+    def step(left, x):
+        after = SCOPE if x == FIRST else max(0, left - 1)
+        return (after, EVENT, _arc("threat") + _arc("by_first", int(left > 0))) if x == THREAT else (after, x, 0)
 
     return Transducer(0, step)
 
 
-def _quotes() -> Transducer:
-    return Transducer(False, lambda inside, kind: (not inside, 0) if kind == QUOTE else (inside, REPORTED if inside else 0))
+def _target() -> Transducer:
+    """A state is the words left after a target, and which of the last SCOPE words are events that no target has been met for."""
+    def step(state, x):
+        left, waiting = state
+        if x == TARGET:
+            return (SCOPE, 0), x, _arc("aimed", waiting.bit_count())
+        waiting = waiting << 1 & (1 << SCOPE) - 1
+        if x == EVENT and not left:
+            waiting |= 1
+        return (max(0, left - 1), waiting), x, _arc("aimed") if x == EVENT and left else 0
+
+    return Transducer((0, 0), step)
+
+
+def _scope(opener: int, name: str) -> Transducer:
+    """Weighs the events up to SCOPE words after an opener."""
+    return Transducer(0, lambda left, x: (SCOPE, x, 0) if x == opener else (max(0, left - 1), x, _arc(name) if x == EVENT and left else 0))
+
 
+def _reported() -> Transducer:
+    """A state is the words left after a verb of saying, and whether a quotation is open."""
+    def step(state, x):
+        left, inside = state
+        after = SCOPE if x == REPORTER else max(0, left - 1)
+        return (after, inside != (x == QUOTE)), x, _arc("reported") if x == EVENT and (left or inside) else 0
 
-GRAMMAR = (
-    Transducer(None, lambda s, kind: (s, EVENT_INSULT if kind == INSULT else EVENT_THREAT if kind == THREAT else 0))
-    .compose(_scope(TARGET, AIMED))
-    .compose(_scope(NEGATOR, NEGATED))
-    .compose(_scope(REPORTER, REPORTED))
-    .compose(_quotes())
-)
+    return Transducer((0, False), step)
 
 
-def events(kinds: list[int]) -> list[int]:
-    """Events of one clause's word classes, as sums of flags. A target up to SCOPE words after an event also aims it."""
-    state, out, at = GRAMMAR.start, [], []
-    for i, kind in enumerate(kinds):
-        state, flags = GRAMMAR.step(state, kind)
-        if flags & (EVENT_INSULT | EVENT_THREAT):
-            out.append(flags)
-            at.append(i)
-        elif kind == TARGET:
-            for j in range(len(out) - 1, -1, -1):
-                if i - at[j] > SCOPE:
-                    break
-                out[j] |= AIMED
-    return out
+GRAMMAR = _insult().compose(_threat()).compose(_target()).compose(_scope(NEGATOR, "negated")).compose(_reported())
 
 
-N_FEATURES = 8
+def path(kinds: list[int]) -> list[int]:
+    """How often a clause's path takes each of ARCS."""
+    state, total = GRAMMAR.start, 0
+    for kind in kinds:
+        state, _, arcs = GRAMMAR.step(state, kind)
+        total += arcs
+    return [total >> 20 * i & (1 << 20) - 1 for i in range(len(ARCS))]
 
 
-def features(flags: list[int]) -> np.ndarray:
-    """Saturating counts of a text's events by kind and scope."""
-    n = np.zeros(N_FEATURES)
-    for f in flags:
-        held = (1 if f & NEGATED else 0) + (2 if f & REPORTED else 0)
-        n[(0 if f & EVENT_INSULT else 4) + held] += 1 + 0.5 * bool(f & AIMED)
-    return np.log1p(n)
+def text_score(clauses: np.ndarray, w: np.ndarray) -> float:
+    """Log-odds of a text from its clauses' paths; w: weights of ARCS, of the end, of the base."""
+    weight = clauses @ w[: len(ARCS)] + w[-2] if len(clauses) else np.zeros(0)
+    return float(w[-1] + GAIN * np.log1p(weight[weight > 0].sum()))
 
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?;\n\r"]] = True
+_GAP = np.zeros(256, bool)
+_GAP[32] = True
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 _WORD[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'"]] = True
@@ -146,7 +170,7 @@ class Lexicon:
     """Word and word-beginning hashes with their classes; small, whatever the input."""
 
     def __init__(self, insults: list[str], beginnings: list[str]):
-        kinds = {_word_hash(w): k for k, ws in ((INSULT, [*SEED_INSULTS, *insults]), (THREAT, THREATS), (TARGET, TARGETS), (NEGATOR, NEGATORS), (REPORTER, REPORTERS), (QUOTE, ['"'])) for w in ws}
+        kinds = {_word_hash(w): k for k, ws in ((INSULT, [*SEED_INSULTS, *insults]), (THREAT, THREATS), (TARGET, TARGETS), (NEGATOR, NEGATORS), (REPORTER, REPORTERS), (FIRST, SELF), (QUOTE, ['"'])) for w in ws}
         self.hashes = np.array(sorted(kinds), np.uint64)
         self.kinds = np.array([kinds[h] for h in sorted(kinds)], np.int8)
         self.beginnings = {n: np.array(sorted(_word_hash(b) for b in beginnings if len(b.encode()) == n), np.uint64) for n in {len(b.encode()) for b in beginnings}}
@@ -170,14 +194,20 @@ class Lexicon:
             kinds[long[self._find(table, spans_hash(values, start[long], start[long] + n)) >= 0]] = INSULT
         return kinds
 
-    def flags(self, buf: np.ndarray, off: np.ndarray) -> dict[int, list[int]]:
-        """Events of the rows that have any. Only clauses with an insult or threat word are run through the machine."""
-        out: dict[int, list[int]] = defaultdict(list)
+    def paths(self, buf: np.ndarray, off: np.ndarray) -> dict[int, np.ndarray]:
+        """Paths of the clauses of rows (lower-case) that have an event. Only clauses with an insult or threat word are run through the machine."""
+        out: dict[int, list] = defaultdict(list)
+        cut, owner = cut_rows(buf, off, PIECE, _STOP, _GAP)
+        for a, b in steps(cut):
+            self._paths(buf[cut[a] : cut[b]], cut[a : b + 1] - cut[a], owner[a:b], out)
+        return {i: np.array(x, np.float64) for i, x in out.items()}
+
+    def _paths(self, buf, off, owner, out) -> None:
         if not len(buf):
-            return out
+            return
         start, end, row, clause = _tokens(buf, off)
         if not len(start):
-            return out
+            return
         kinds = self.classes(_LUT[LOWER[buf]], start, end)
         hot = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
         done = -1
@@ -186,8 +216,15 @@ class Lexicon:
                 continue
             lo, hi = int(np.searchsorted(clause, clause[i])), int(np.searchsorted(clause, clause[i], side="right"))
             done = hi - 1
-            out[int(row[i])] += events(kinds[lo:hi].tolist())
-        return out
+            out[int(owner[row[i]])].append(path(kinds[lo:hi].tolist()))
+
+
+def folded_text(column: pa.Array) -> pa.Array:
+    """Texts in lower case, by Unicode."""
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:  # some bytes are no UTF-8
+        return pa.array([None if x is None else x.decode("utf-8", "replace").lower() for x in column.cast(pa.binary()).to_pylist()], pa.string())
 
 
 def _words_of(text: str) -> list[str]:
@@ -247,30 +284,41 @@ def induce(texts: list[str], y: np.ndarray) -> tuple[list[str], list[str]]:
     return words, sorted(b for b in ok if not any(b[:k] in ok for k in range(4, len(b))))
 
 
+def _fit_weights(rows: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 600) -> np.ndarray:
+    """Weights for clauses x (paths; rows: each one's text) and labels y of texts, drawn to PRIOR where labels say little: Adam on the logistic loss, weights kept on
+    their side of 0. While fitting, a clause that isn't matched passes a fifth of its gradient on, else it could never become one."""
+    prior = np.array(list(PRIOR.values()))
+    low = np.array([0, 0, 0, 0, -np.inf, -np.inf, -np.inf, -np.inf])
+    high = np.array([np.inf] * 4 + [0, 0, 0, np.inf])
+    k, n = len(ARCS), len(y)
+    w, best = prior.copy(), (np.inf, prior)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    full = np.concatenate([x, np.ones((len(x), 1))], 1)
+    for t in range(1, rounds + 1):
+        weight = full @ w[: k + 1]
+        total = np.bincount(rows, weights=np.maximum(weight, 0), minlength=n)
+        z = w[-1] + GAIN * np.log1p(total)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        loss = np.logaddexp(0, np.where(y == 1, -z, z)).sum() + 0.15 * ((w - prior) ** 2).sum()
+        if loss < best[0]:
+            best = loss, w.copy()
+        d = p - y
+        per = (d * GAIN / (1 + total))[rows] * np.where(weight > 0, 1, 0.2)
+        g = np.concatenate([full.T @ per, [d.sum()]]) + 0.3 * (w - prior)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = np.clip(w - 0.05 * (1 - t / rounds / 1.1) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9), low, high)
+    return best[1]
+
+
 def fit(texts: list[str], y: np.ndarray) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon, and the weights of the events (bias last), drawn to the grammar's prior weights where labels say little."""
-    lexicon = Lexicon(*induce(texts, y)) if len(y) and y.any() else Lexicon([], [])
-    prior = np.array([PRIOR[k] + a * PRIOR["negated"] + b * PRIOR["reported"] for k in ("insult", "threat") for b in (0, 1) for a in (0, 1)] + [0.0]) / np.log(2)
-    prior[-1] = -3.0
-    x = np.zeros((len(texts), N_FEATURES + 1))
-    x[:, -1] = 1
-    raw = [t.encode() for t in texts]
-    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    for lo, hi in steps(off):
-        for i, flags in lexicon.flags(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).items():
-            x[lo + i, :-1] = features(flags)
-    w = prior.copy()
-    for _ in range(30):  # Newton steps of penalised logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        pull = np.full(N_FEATURES + 1, 0.3)
-        grad = x.T @ (p - y) + pull * (w - prior) if len(y) else pull * (w - prior)
-        hess = (x.T * (p * (1 - p))) @ x + np.diag(pull)
-        step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-6:
-            break
-    return lexicon, w
+    """The lexicon, and the weights of ARCS, of the end and of the base."""
+    column = folded_text(pa.array(texts, pa.string()))
+    lexicon = Lexicon(*induce(column.to_pylist(), y)) if len(y) and y.any() else Lexicon([], [])
+    buf, off = buffers(column)
+    found = lexicon.paths(buf, off)
+    rows = np.array([i for i in sorted(found) for _ in found[i]], np.int64)
+    x = np.concatenate([found[i] for i in sorted(found)]) if found else np.zeros((0, len(ARCS)))
+    return lexicon, _fit_weights(rows, x, y) if len(y) else np.array(list(PRIOR.values()))
 
 
 def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], keep: list[Column]) -> DataFrame:
@@ -282,11 +330,10 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], keep: list[Column]
 
     def run(batches):
         for batch in batches:
-            buf, off = buffers(batch.column(at_text))
+            buf, off = buffers(folded_text(batch.column(at_text)))
             z = np.full(batch.num_rows, w[-1])
-            for lo, hi in steps(off):
-                for i, flags in lexicon.flags(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]).items():
-                    z[lo + i] = w[-1] + features(flags) @ w[:-1]
+            for i, clauses in lexicon.paths(buf, off).items():
+                z[i] = text_score(clauses, w)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
             release()

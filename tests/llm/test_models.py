@@ -36,27 +36,66 @@ def test_language(spark):
     assert accuracy(spark, out, ("lang_pred", "lang"), "documents") > 0.98
 
 
-def test_grammar():
-    I, T, N, R, Q, W, H = toxicity.INSULT, toxicity.TARGET, toxicity.NEGATOR, toxicity.REPORTER, toxicity.QUOTE, toxicity.FREE, toxicity.THREAT
-    e = toxicity.events
-    assert e([W, I]) == [toxicity.EVENT_INSULT]
-    assert e([T, W, I]) == [toxicity.EVENT_INSULT | toxicity.AIMED]
-    assert e([I, W, T]) == [toxicity.EVENT_INSULT | toxicity.AIMED]
-    assert e([N, W, I]) == [toxicity.EVENT_INSULT | toxicity.NEGATED]
-    assert e([R, W, H]) == [toxicity.EVENT_THREAT | toxicity.REPORTED]
-    assert e([Q, I, Q, I]) == [toxicity.EVENT_INSULT | toxicity.REPORTED, toxicity.EVENT_INSULT]
-    assert e([N, W, W, W, W, W, I]) == [toxicity.EVENT_INSULT]
-    assert e([W, T]) == []
+@needs
+def test_toxic_rows_are_found(spark):
+    """Recall and precision on held-out rows that hold a word of the seed list (the tables also mark rows without any)."""
+    out = queries.op3_toxicity(spark, DIR).where("held_out").join(spark.read.parquet(f"{DIR}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text"), "doc_id")
+    rows = out.where(F.lower("text").rlike("(?<![a-z])(" + "|".join(toxicity.SEED_INSULTS) + ")(?![a-z])") & F.col("toxic").isNotNull()).select("toxic", "predicted").collect()
+    assert sum(r.toxic for r in rows) > 20
+    assert sum(r.predicted for r in rows if r.toxic) > 0.95 * sum(r.toxic for r in rows)
+    clean = out.where("toxic = 0").select("predicted").collect()
+    assert sum(r.predicted for r in clean) < 0.02 * len(clean)
+
+
+def by_hand(kinds):
+    """A clause's arcs, word by word, without any machine."""
+    t, n = toxicity, [0] * 6
+    near = lambda i, kind: any(kinds[j] == kind for j in range(max(0, i - t.SCOPE), i))
+    for i, k in enumerate(kinds):
+        if k in (t.INSULT, t.THREAT):
+            n[0 if k == t.INSULT else 1] += 1
+            n[2] += k == t.THREAT and near(i, t.FIRST)
+            n[3] += near(i, t.TARGET) or t.TARGET in kinds[i + 1 : i + 1 + t.SCOPE]
+            n[4] += near(i, t.NEGATOR)
+            n[5] += near(i, t.REPORTER) or sum(x == t.QUOTE for x in kinds[:i]) % 2 == 1
+    return n
+
+
+def test_the_composed_machine_takes_the_paths_of_its_parts():
+    from itertools import product
+
+    for size in range(6):
+        for kinds in product(range(8), repeat=size):
+            assert toxicity.path(list(kinds)) == by_hand(kinds), kinds
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        kinds = rng.integers(0, 8, rng.integers(6, 40)).tolist()
+        assert toxicity.path(kinds) == by_hand(tuple(kinds))
+
+
+def scores(model, texts):
+    import pyarrow as pa
+
+    from ferrule.llm.common import buffers
+
+    found = model[0].paths(*buffers(toxicity.folded_text(pa.array(texts))))
+    return [1 / (1 + np.exp(-toxicity.text_score(found.get(i, np.zeros((0, 6))), model[1]))) for i in range(len(texts))]
 
 
 def test_unlabelled_grammar_scores():
-    lexicon, w = toxicity.fit([], np.zeros(0, np.int64))
-    raw = ["you are an idiot", "he said you are an idiot", "a fine day", ""]
-    buf = np.frombuffer("".join(raw).encode(), np.uint8)
-    off = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    got = lexicon.flags(buf, off)
-    z = [w[-1] + toxicity.features(got.get(i, [])) @ w[:-1] for i in range(4)]
-    assert z[0] > 0 > z[2] == z[3] and z[0] > z[1]
+    model = toxicity.fit([], np.zeros(0, np.int64))
+    attacks = scores(model, ["you are an idiot", "I will kill you", "ICH WERDE DICH TÖTEN", "Idiot, you!", "shut up, you pathetic clown"])
+    others = scores(model, ["the clown kill switch pathetic trash scum", "he said you are an idiot", "you are not an idiot", "I will never hurt you", 'she wrote "you idiot" on it', "a fine day", "you", "kill the process"])
+    assert min(attacks) > 0.5 > max(others)
+    assert len(set(scores(model, ["", "a fine day", "the clown kill switch pathetic trash scum", "kill the process"]))) == 1  # nothing matched, nothing added
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    model = toxicity.fit([], np.zeros(0, np.int64))
+    text = "words go on here. " * 300 + "you are an idiot. " + "and more without an end " * 200 + "du bist ein clown"
+    whole = scores(model, [text, "x", text[:3000], ""])
+    monkeypatch.setattr(toxicity, "PIECE", 700)
+    assert scores(model, [text, "x", text[:3000], ""]) == whole and whole[0] > 0.5
 
 
 def test_odd_rows(spark, corpus, wide, empty, rows):
