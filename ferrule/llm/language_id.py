@@ -6,7 +6,7 @@ language's false-positive rate (its share of set bits to the power of the number
 decides.
 
 Cases: a null text, or one without a letter, is `und` with score 0; ties go to the language that sorts first; a text shorter
-than an n-gram is padded with spaces; repeated rows get equal results; empty tables give no rows; without a labelled row
+than an n-gram is padded with spaces; one above PIECE bytes is counted in pieces cut at blanks, each padded so; repeated rows get equal results; empty tables give no rows; without a labelled row
 every text is `und`; extra columns are ignored.
 """
 
@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, mix, steps
+from .common import LOWER, buffers, cut_rows, mix, release, steps
 
 #: The filter is fitted on about so many labelled rows of a language (those with the least hash of doc_id), whole texts: a
 #: documented bound, so that fitting needs bounded memory.
 FIT_ROWS = 600
+PIECE = 1 << 20
 N_GRAM, SLOTS, HASHES, SHARE = 5, 1 << 21, 3, 0.3
 
 
@@ -45,6 +46,10 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], row[keep]
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 13, 32]] = True
+
+
 def _slots(h: np.ndarray) -> list[np.ndarray]:
     x = mix(h)
     a, b = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
@@ -103,25 +108,29 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
         for batch in batches:
             n, text = batch.num_rows, batch.column(batch.num_columns - 1)
             buf, off = buffers(text)
-            best, score = np.full(n, -1), np.zeros(n)
-            for lo, hi in steps(off, rows=max(1, 60_000 * 64 // max(64, len(langs)))):
-                g, row = _grams(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            total, hits = np.zeros(n), np.zeros((len(langs), n))
+            cut, owner = cut_rows(buf, off, PIECE, _BLANK)
+            for lo, hi in steps(cut):
+                g, piece = _grams(buf[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo])
                 if not len(g) or not langs:
                     continue
+                first, rows = owner[lo], owner[hi - 1] - owner[lo] + 1
+                row = owner[lo + piece] - first
                 a, b, c = _slots(g)
                 seen = [word[a] & word[b] & word[c] for word in table]
-                rows = hi - lo
-                total = np.bincount(row, minlength=rows)
-                hits = np.zeros((len(langs), rows))
+                total[first : first + rows] += np.bincount(row, minlength=rows)
                 for k in range(len(langs)):
-                    hits[k] = np.bincount(row, weights=(seen[k // 64] >> table.dtype.type(k % 64)) & table.dtype.type(1), minlength=rows)
+                    hits[k, first : first + rows] += np.bincount(row, weights=(seen[k // 64] >> table.dtype.type(k % 64)) & table.dtype.type(1), minlength=rows)
+            best, score = np.full(n, -1), np.zeros(n)
+            if langs:
                 true = np.clip((hits - total * fp[:, None]) / (1 - fp[:, None]), 0, None)
                 top = true.argmax(0)
-                best[lo:hi] = np.where(total > 0, top, -1)
-                score[lo:hi] = np.where(total > 0, true[top, np.arange(rows)] / np.maximum(true.sum(0), 1e-9), 0)
+                best = np.where(total > 0, top, -1)
+                score = np.where(total > 0, true[top, np.arange(n)] / np.maximum(true.sum(0), 1e-9), 0)
             valid = text.is_valid().to_numpy(zero_copy_only=False)
             best = np.where(valid & (best >= 0), best, len(langs))
             pred = pa.array([*langs, "und"]).take(pa.array(best))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pred, pa.array(np.where(best == len(langs), 0.0, np.clip(score, 0, 1)))], [*names, "lang_pred", "score"])
+            release()
 
     return given.mapInArrow(run, schema)

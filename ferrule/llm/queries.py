@@ -100,4 +100,25 @@ g AS (SELECT doc_id, item_id, diag, min(p) AS first_word FROM h GROUP BY 1, 2, 3
 o AS (SELECT doc_id, item_id, first_word, len(b.w) AS m, [CASE WHEN diag + k >= 0 AND d.w[diag + k + 1] = b.w[k + 1] THEN 0 ELSE 1 END FOR k IN range(len(b.w))] AS miss FROM g JOIN d USING (doc_id) JOIN b USING (item_id)),
 v AS (SELECT doc_id, item_id, first_word, list_min([list_sum(miss[a + 1:a + least({decontaminate.STRETCH}, m)]) FOR a IN range(m - least({decontaminate.STRETCH}, m) + 1)]) AS misses FROM o)
 SELECT doc_id, item_id, min(first_word)::BIGINT AS first_word, min(misses)::BIGINT AS misses FROM v WHERE misses <= {decontaminate.MISSES} GROUP BY 1, 2""",
+    # crc32 by its table, byte by byte; shards end at the boundary between rows that is nearest to their share of the bytes
+    "op7_histogram_sort": """WITH RECURSIVE c(i, k, x) AS (SELECT i::BIGINT, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM c WHERE k < 8),
+lut AS (SELECT list(x ORDER BY i) AS t FROM c WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, len(h) // 2 + 16 AS size, ('0x' || substr(md5(text), 1, 15))::BIGINT AS k1,
+ xor(list_reduce([4294967295] || [('0x' || b)::BIGINT FOR b IN regexp_extract_all(h, '..')], lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d, lut),
+p AS (SELECT *, (sum(size) OVER (ORDER BY k1, doc_id) - size)::BIGINT AS below, (sum(size) OVER ())::BIGINT AS total FROM s),
+cuts AS (SELECT below AS x FROM p UNION SELECT total FROM p), targets AS (SELECT i, (SELECT any_value(total) FROM p) * i / 40 AS target FROM range(1, 40) t(i)),
+bounds AS (SELECT i, arg_min(x, (abs(x - target), x)) AS bound FROM targets, cuts GROUP BY i),
+placed AS (SELECT *, (SELECT count(*) FROM bounds WHERE bound <= below)::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k1, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM placed""",
+    # windows are told by md5; a text's hex digits are cut in pieces first, so that taking a window doesn't walk the whole text
+    "op8_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, h, unnest(list_transform(regexp_extract_all(h, '.{1,1000}'), lambda x, k: {'k': k - 1, 'x': x})) AS part FROM d WHERE len(h) >= 400),
+joined AS (SELECT doc_id, len(h) // 2 AS n, part.k AS k, part.x || coalesce(lead(part.x) OVER (PARTITION BY doc_id ORDER BY part.k), '') AS x, len(part.x) // 2 AS own FROM parts),
+w AS (SELECT doc_id, k * 500 + i AS pos, md5(substr(x, 2 * i + 1, 400)) AS v FROM (SELECT *, unnest(range(own)) AS i FROM joined) WHERE k * 500 + i + 200 <= n),
+twice AS (SELECT v FROM w GROUP BY v HAVING count(*) > 1), r AS (SELECT doc_id, pos FROM w JOIN twice USING (v)),
+gaps AS (SELECT *, CASE WHEN pos > lag(pos) OVER o + 200 OR lag(pos) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+runs AS (SELECT doc_id, min(pos) AS a, max(pos) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gaps) GROUP BY doc_id, g),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * coalesce(p, 0) + 1, 2 * (a - coalesce(p, 0))), '' ORDER BY a) AS x, max(b) AS last, sum(b - a) AS gone, count(*) AS spans FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM runs) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
 }

@@ -125,6 +125,23 @@ def test_shards(corpus, rows, wide, empty):
     assert histogram_sort.histogram_shards(empty, shards=4).count() == 0
 
 
+def test_many_ranges(corpus, rows, monkeypatch):
+    want = sorted(map(tuple, histogram_sort.histogram_shards(corpus, shards=3).select("doc_id", "size", "shard", "slot").collect()), key=repr)
+    monkeypatch.setattr(histogram_sort, "COMPILED", 2)
+    assert sorted(map(tuple, histogram_sort.histogram_shards(corpus, shards=3).select("doc_id", "size", "shard", "slot").collect()), key=repr) == want
+
+
+def test_equal_rows_are_split(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, "same text") for i in range(400)] + [(i, f"other {i}") for i in range(40)], "doc_id long, text string")
+    got = histogram_sort.histogram_shards(df, shards=4)
+    sizes = [r[0] for r in got.groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 60
+    by = {}
+    for s, slot in got.select("shard", "slot").collect():
+        by.setdefault(s, []).append(slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and sum(map(len, by.values())) == 440
+
+
 def test_one_heavy_key_is_split(spark):
     df = spark.createDataFrame([(i, "same text") for i in range(400)], "doc_id long, text string")
     got = histogram_sort.histogram_shards(df, shards=4).groupBy("shard").count().collect()
@@ -148,6 +165,30 @@ def test_top_k(spark):
             want = sorted((bin((c ^ o) & (2**64 - 1)).count("1"), i) for i, o in clean if i != q)[:5]
             assert [(d, n) for _, d, n in sorted(got[q])] == want
     assert hamming_topk.top_k(df.limit(0), asked, 5).count() == 0
+    three = {}
+    for q, rank, n, d in hamming_topk.top_k(df, asked, 5, m=3).select("query_id", "rank", "neighbor_id", "distance").collect():
+        three.setdefault(q, []).append((rank, d, n))
+    assert {q: sorted(x) for q, x in three.items()} == {q: sorted(x) for q, x in got.items()}
+
+
+def test_probes_by_masks_and_by_values_are_the_same(spark):
+    asked = spark.createDataFrame([(0x1234_5678_9ABC_DEF0, 64), (-1, 64)], "q long, limit int")
+    every = spark.range(4).select(F.col("id").cast("int").alias("seg")).crossJoin(spark.range(1 << 16).select(F.col("id").cast("int").alias("value")))
+    for m, radius in ((4, 0), (4, 2), (3, 1)):
+        segments = hamming_topk._segments(m)
+        got = hamming_topk._probes(asked, every, 1 << 30, radius, segments)
+        assert got.count() == got.distinct().count() == 2 * sum(__import__("math").comb(w, radius) for _, w in segments)
+    a = hamming_topk._probes(asked, every, 1 << 30, 3, hamming_topk._segments(4)).select("q", "seg", "value")
+    b = hamming_topk._probes(asked, every, 0, 3, hamming_topk._segments(4)).select("q", "seg", "value")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_longer_vectors_are_an_error(spark):
+    import pytest
+
+    df = spark.createDataFrame([([1.0] * 65,)], "v array<double>")
+    with pytest.raises(Exception, match="more than 64"):
+        df.select(hamming_topk.sign_code(F.col("v"))).collect()
 
 
 def test_top_k_of_repeated_query_ids(spark):

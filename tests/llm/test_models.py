@@ -121,11 +121,71 @@ def test_network_sees_the_end_of_long_texts():
     m = quality._init(np.random.default_rng(1))
     base = np.frombuffer(b"plain words here " * 3000, np.uint8)
     changed = base.copy()
-    changed[-40:] = 255
+    changed[-40:] = np.random.default_rng(2).integers(128, 256, 40)
     p = quality.predict(m, np.concatenate([base, changed]), np.array([0, len(base), 2 * len(base)]))
     assert p[0] != p[1]
 
 
+def naive(m, raw):
+    """The network on one text by plain loops."""
+    q, block = quality, quality.BLOCK * quality.STRIDE
+    blocks = max(1, -(-len(raw) // block))
+    raw = np.concatenate([np.frombuffer(raw, np.uint8), np.zeros(blocks * block + q.WIDTH, np.uint8)])
+    pooled = []
+    for b in range(blocks):
+        best = np.full(q.FILTERS, -np.inf)
+        for p in range(b * block, (b + 1) * block, q.STRIDE):
+            window = np.concatenate([m["emb"][x] for x in raw[p : p + q.WIDTH]])
+            best = np.maximum(best, window @ m["conv"] + m["bias"])
+        pooled.append(best)
+    chunks, at = [], 0
+    while True:
+        chunks.append(np.maximum(np.max(pooled[at : at + q.CHUNK], axis=0), 0))
+        if at + q.CHUNK >= blocks:
+            break
+        at += q.HOP
+    z = np.mean(chunks, axis=0) @ m["out"][: q.FILTERS] + np.max(chunks, axis=0) @ m["out"][q.FILTERS :] + m["c"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_network_against_plain_loops(monkeypatch):
+    rng = np.random.default_rng(8)
+    m = quality._init(rng)
+    m["c"][0] = 0.3
+    raw = [bytes(rng.integers(32, 127, n).astype(np.uint8)) for n in (0, 1, 127, 128, 129, 512, 513, 900, 3000)]
+    want = [naive(m, r) for r in raw]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    assert np.abs(quality.predict(m, np.frombuffer(b"".join(raw), np.uint8), off) - want).max() < 1e-5
+    for r, w in zip(raw, want):
+        assert abs(quality.predict(m, np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] - w) < 1e-5
+    monkeypatch.setattr(quality, "PIECE", 800)
+    assert abs(quality.predict(m, np.frombuffer(raw[-1], np.uint8), np.array([0, len(raw[-1])]))[0] - want[-1]) < 1e-5
+
+
+def test_language_against_sets(spark, monkeypatch):
+    """Predictions of the Bloom filters against exact sets of n-grams, and long texts in pieces."""
+    rng = np.random.default_rng(9)
+    words = {x: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(30)] for x in ("aa", "bb", "cc")}
+    rows = [(i, " ".join(rng.choice(words[x], 40)), x) for i, x in enumerate(list(words) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    model = language_id.fit(docs)
+    grams = lambda t: [t[i : i + 5] for i in range(len(t))]
+    sets = {}
+    for x in words:
+        seen = [set(grams(t + "    ")) for _, t, y in rows if y == x]
+        sets[x] = {g for s in seen for g in s if sum(g in o for o in seen) >= 3}
+    for _, t, x in rows:
+        n = {y: sum(g in sets[y] for g in grams(t + "    ")) for y in words}
+        assert max(n, key=n.get) == x
+    got = {r.text: (r.lang_pred, r.lang) for r in language_id.predict(docs, model, ["text", "lang"]).collect()}
+    assert all(a == b for a, b in got.values())
+    buf = np.frombuffer(" ".join(t for _, t, x in rows if x == "bb").encode(), np.uint8)
+    from ferrule.llm.common import cut_rows
+
+    cut, owner = cut_rows(buf, np.array([0, len(buf)]), 500, language_id._BLANK)
+    assert len(owner) > 5 and max(np.diff(cut)) <= 500 and all(buf[c - 1] == 32 for c in cut[1:-1]) and not owner.any()
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
