@@ -79,7 +79,7 @@ def _short_seeds(rows: DataFrame, keep: list[str], words: Column, place: str, ma
 
 
 def _short_hits(texts: DataFrame, benchmark: DataFrame) -> DataFrame | None:
-    """(__k, __n, item_id, diagonal, first_word) of items of fewer than STRETCH words; of a whole item the first place alone. texts: (__k, __n, w)."""
+    """(__k, __n, item_id, diagonal) of items of fewer than STRETCH words; of a whole item the first place alone. texts: (__k, __n, w)."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("item"))
     items = materialize(items.where(F.size("item").between(1, STRETCH - 1)), "short")
     sizes = sorted(r["n"] for r in items.select(F.size("item").alias("n")).distinct().collect())
@@ -92,43 +92,49 @@ def _short_hits(texts: DataFrame, benchmark: DataFrame) -> DataFrame | None:
         seeds = seeds.unionByName(_short_seeds(items.where(F.size("item") == n), ["item_id"], F.col("item"), "item_place", [mask]).withColumn("whole", F.lit(True)))
     seeds = materialize(seeds.distinct(), "short_seeds")
     met = _short_seeds(texts, ["__k", "__n"], F.col("w"), "at", masks).join(F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds, "key")
-    hits = met.groupBy("__k", "__n", "item_id", F.when(~F.col("whole"), F.col("at") - F.col("item_place")).alias("d")).agg(F.min("at").cast("long").alias("first_word"))
-    return hits.select("__k", "__n", "item_id", F.coalesce("d", F.col("first_word").cast("int")).alias("diagonal"), "first_word")
+    hits = met.groupBy("__k", "__n", "item_id", F.when(~F.col("whole"), F.col("at") - F.col("item_place")).alias("d")).agg(F.min("at").alias("first"))
+    return hits.select("__k", "__n", "item_id", F.coalesce("d", "first").alias("diagonal"))
 
 
-def _misses(words: Column, item: Column, diagonal: Column) -> Column:
-    """The fewest substitutions in a stretch of min(STRETCH, item's words) of the item, laid on the text so that item word k meets word
-    diagonal + k; stretches lie inside the item."""
-    n = F.least(F.lit(STRETCH), F.size(item))
-    off = F.transform(F.sequence(F.lit(0), F.size(item) - 1), lambda k: F.when(diagonal + k < 0, 1).when(F.get(words, F.greatest(diagonal + k, F.lit(0))).eqNullSafe(F.get(item, k)), 0).otherwise(1))
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.size(item) - n), lambda a: F.aggregate(F.slice(off, a + 1, n), F.lit(0), lambda s, x: s + x)))
+def _stretches(part: Column, item: Column, diagonal: Column) -> Column:
+    """Substitutions in each stretch of min(STRETCH, item's words) of the item, laid on the text so that item word k meets word diagonal + k; part: the text's words
+    from max(diagonal, 0) on; stretches lie inside the item."""
+    n, skipped = F.least(F.lit(STRETCH), F.size(item)), F.least(diagonal, F.lit(0))
+    off = F.transform(F.sequence(F.lit(0), F.size(item) - 1), lambda k: F.when(skipped + k < 0, 1).when(F.get(part, F.greatest(skipped + k, F.lit(0))).eqNullSafe(F.get(item, k)), 0).otherwise(1))
+    return F.transform(F.sequence(F.lit(0), F.size(item) - n), lambda a: F.aggregate(F.slice(off, a + 1, n), F.lit(0), lambda s, x: s + x))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """keep's columns with (item_id, first_word, misses): a row for each document row and benchmark item that overlap. What hits is one row
-    for each text, item and diagonal; the words of those texts alone are cut again for the check."""
+    """keep's columns with (item_id, first_word, misses): a row for each document row, benchmark item and diagonal that overlap; first_word is the first word of the
+    text that a counted stretch of the item may begin at. The words of texts that are hit are cut again for the check, once for each text."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(*keep, text.alias("__text"), F.xxhash64(text).alias("__k"), F.octet_length(text).alias("__n"))
     seeds = materialize(item_seeds(benchmark), "seeds")
     few = seeds.count() <= BROADCAST_ROWS
-    spread = _seeds(keyed.select("__k", "__n", word_hashes(F.col("__text")).alias("w")), ["__k", "__n"], F.col("w"), "at")
+    words = keyed.select("__k", "__n", word_hashes(F.col("__text")).alias("w"))
+    spread = _seeds(words, ["__k", "__n"], F.col("w"), "at")
     same = [F.col(f"seed{i}") == F.col(f"item_seed{i}") for i in range(len(MASKS + MORE))]
     met = spread.join(F.broadcast(seeds) if few else seeds, "common").where(F.col("fits") & reduce(or_, same))
-    # the first word is told by MASKS wherever they hit
-    first = F.coalesce(F.min(F.when(reduce(or_, same[: len(MASKS)]), F.col("at"))), F.min("at")).cast("long").alias("first_word")
-    hits = met.groupBy("__k", "__n", "item_id", (F.col("at") - F.col("item_place")).alias("diagonal")).agg(first)
-    short = _short_hits(keyed.select("__k", "__n", word_hashes(F.col("__text")).alias("w")), benchmark)
+    hits = met.select("__k", "__n", "item_id", (F.col("at") - F.col("item_place")).alias("diagonal")).distinct()
+    short = _short_hits(words, benchmark)
     hits = materialize(hits if short is None else hits.unionByName(short), "hits")
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", word_hashes(F.col("text")).alias("item"))
-    hits = hits.join(F.broadcast(items) if few else items, "item_id")
-    texts = keyed.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, ["__k", "__n"])
+    items = items.join(hits.select("item_id").distinct(), "item_id", "left_semi")
+    items = F.broadcast(items) if few else items
+    sized = hits.join(items, "item_id").groupBy("__k", "__n").agg(F.collect_set(F.struct("item_id", "diagonal", F.size("item").alias("m"))).alias("__hits"))
+    texts = keyed.join(F.broadcast(sized) if hits.count() <= BROADCAST_ROWS else sized, ["__k", "__n"])
     # written first: a word list inlined in a lambda would be cut anew for every word
-    laid = materialize(texts.select(*keep, "item_id", "item", "diagonal", "first_word", word_hashes(F.col("__text")).alias("words")), "laid")
-    best = laid.withColumn("misses", _misses(F.col("words"), F.col("item"), F.col("diagonal"))).where(F.col("misses") <= F.when(F.size("item") < SPAN, 0).otherwise(MISSES))
-    return best.select(*keep, "item_id", "first_word", F.col("misses").cast("long").alias("misses"))
+    laid = materialize(texts.select(*keep, "__hits", word_hashes(F.col("__text")).alias("__words")), "laid")
+    part = lambda h: F.slice(F.col("__words"), F.greatest(h["diagonal"], F.lit(0)) + 1, F.greatest(h["m"] + F.least(h["diagonal"], F.lit(0)), F.lit(0)))
+    each = laid.select(*keep, F.explode(F.transform("__hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["diagonal"].alias("diagonal"), part(h).alias("part")))).alias("__dc"))
+    each = each.select(*keep, "__dc.item_id", F.col("__dc.diagonal").alias("__d"), F.col("__dc.part").alias("__part")).join(items.withColumnRenamed("item", "__item"), "item_id")
+    found = each.withColumn("__s", _stretches(F.col("__part"), F.col("__item"), F.col("__d"))).withColumn("__most", F.when(F.size("__item") < SPAN, 0).otherwise(MISSES))
+    first = F.array_position(F.transform("__s", lambda x: x <= F.col("__most")), True) - 1 + F.col("__d")
+    found = found.select(*keep, "item_id", F.greatest(first, F.lit(0)).cast("long").alias("first_word"), F.array_min("__s").cast("long").alias("misses"), "__most")
+    return found.where("misses <= __most").drop("__most")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, first_word, misses): a row for each doc_id and item, of its best diagonal."""
+    """(doc_id, item_id, first_word, misses): a row for each doc_id and item, the least of each over its diagonals."""
     rows = contaminated(docs, benchmark, ["doc_id"])
     return rows.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.min("misses").alias("misses"))

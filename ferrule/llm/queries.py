@@ -80,8 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_files": op10_bpe_files,
 }
 _WORDS = r"list_filter(regexp_split_to_array({}, '{}'), lambda x: x <> '')"
-_PLACES = "unnest(range(greatest(len(w) - 7, 0))) AS p"
-_KEYS = ", ".join("concat_ws(' ', " + ", ".join(f"w[p + {j + 1}]" for j, c in enumerate(mask) if c == "1") + f") AS k{i}" for i, mask in enumerate(decontaminate.MASKS))
 
 SQL: dict[str, str] = {
     "op1_hamming_topk": """WITH c AS (SELECT vec_id, [x > 0 FOR x IN embedding[1:64]] AS s FROM embeddings),
@@ -93,13 +91,15 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS
 e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
 r(doc, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(root) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc = d.doc_id GROUP BY 1, 2""",
-    "op4_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS.format("lower(text)", "[^\\p{L}\\p{N}]+")} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format("lower(text)", "[^\\p{L}\\p{N}]+")} AS w FROM benchmark),
-dk AS (SELECT doc_id, p, {_KEYS} FROM (SELECT doc_id, w, {_PLACES} FROM d)), bk AS (SELECT item_id, p, {_KEYS} FROM (SELECT item_id, w, {_PLACES} FROM b)),
-h AS ({" UNION ALL ".join(f"SELECT doc_id, item_id, dk.p AS p, dk.p - bk.p AS diag FROM dk JOIN bk ON dk.k{i} = bk.k{i}" for i in range(len(decontaminate.MASKS)))}),
-g AS (SELECT doc_id, item_id, diag, min(p) AS first_word FROM h GROUP BY 1, 2, 3),
-o AS (SELECT doc_id, item_id, first_word, len(b.w) AS m, [CASE WHEN diag + k >= 0 AND d.w[diag + k + 1] = b.w[k + 1] THEN 0 ELSE 1 END FOR k IN range(len(b.w))] AS miss FROM g JOIN d USING (doc_id) JOIN b USING (item_id)),
-v AS (SELECT doc_id, item_id, first_word, list_min([list_sum(miss[a + 1:a + least({decontaminate.STRETCH}, m)]) FOR a IN range(m - least({decontaminate.STRETCH}, m) + 1)]) AS misses FROM o)
-SELECT doc_id, item_id, min(first_word)::BIGINT AS first_word, min(misses)::BIGINT AS misses FROM v WHERE misses <= {decontaminate.MISSES} GROUP BY 1, 2""",
+    # the rule alone, without seeds: a diagonal needs as many equal words as a stretch may not miss
+    "op4_decontaminate": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("lower(text)", "[^\\p{L}\\p{N}]+")} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, len(w) AS m, w FROM (SELECT item_id, {_WORDS.format("lower(text)", "[^\\p{L}\\p{N}]+")} AS w FROM benchmark)),
+dw AS (SELECT r, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM d), bw AS (SELECT i, generate_subscripts(w, 1) AS q, unnest(w) AS x FROM b),
+g AS (SELECT r, i, p - q AS diag, count(*) AS n FROM dw JOIN bw USING (x) GROUP BY 1, 2, 3),
+o AS (SELECT doc_id, item_id, diag, m, CASE WHEN m < {decontaminate.SPAN} THEN 0 ELSE {decontaminate.MISSES} END AS most, least({decontaminate.STRETCH}, m) AS s, [CASE WHEN diag + k >= 0 AND d.w[diag + k + 1] = b.w[k + 1] THEN 0 ELSE 1 END FOR k IN range(m)] AS miss
+ FROM g JOIN d USING (r) JOIN b USING (i) WHERE n >= least({decontaminate.STRETCH}, m) - CASE WHEN m < {decontaminate.SPAN} THEN 0 ELSE {decontaminate.MISSES} END),
+v AS (SELECT *, [list_sum(miss[a + 1:a + s]) FOR a IN range(m - s + 1)] AS per FROM o)
+SELECT doc_id, item_id, min(greatest(diag + list_position([x <= most FOR x IN per], true) - 1, 0))::BIGINT AS first_word, min(list_min(per))::BIGINT AS misses FROM v WHERE list_min(per) <= most GROUP BY 1, 2""",
     # crc32 by its table, byte by byte; shards end at the boundary between rows that is nearest to their share of the bytes
     "op7_histogram_sort": """WITH RECURSIVE c(i, k, x) AS (SELECT i::BIGINT, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM c WHERE k < 8),
 lut AS (SELECT list(x ORDER BY i) AS t FROM c WHERE k = 8),

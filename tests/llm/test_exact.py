@@ -213,21 +213,23 @@ def words(text):
 
 
 def leaks(docs, items):
+    """Every item laid on every text at every diagonal, without seeds."""
     for d, t in docs:
         w = words(t)
         for i, m in items:
             x = words(m)
-            if len(x) < 8:
+            if not x:
                 continue
             n, best = min(13, len(x)), None
             for diagonal in range(-len(x) + 1, len(w)):
                 off = [0 if 0 <= diagonal + k < len(w) and w[diagonal + k] == x[k] else 1 for k in range(len(x))]
-                seed = any(all(off[p + j] == 0 for j, c in enumerate(mask) if c == "1") for mask in decontaminate.MASKS for p in range(len(x) - 7))
-                miss = min(sum(off[a : a + n]) for a in range(len(x) - n + 1))
-                if seed and miss <= decontaminate.MISSES:
-                    best = miss if best is None else min(best, miss)
+                miss = [sum(off[a : a + n]) for a in range(len(x) - n + 1)]
+                good = [a for a in range(len(miss)) if miss[a] <= (decontaminate.MISSES if len(x) >= 8 else 0)]
+                if good:
+                    first = max(0, diagonal + good[0])
+                    best = (min(miss), first) if best is None else (min(best[0], min(miss)), min(best[1], first))
             if best is not None:
-                yield d, i, best
+                yield d, i, *best
 
 
 def test_leaks(spark, corpus, rows, wide, empty):
@@ -239,8 +241,8 @@ def test_leaks(spark, corpus, rows, wide, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = set(leaks([r for r in rows if r[0] is not None], items))
     for docs in (corpus, wide):
-        got = {tuple(r) for r in decontaminate.overlaps(docs.where("doc_id is not null"), bench).select("doc_id", "item_id", "misses").collect()}
-        assert got == want and {i for _, i, _ in want} == {0, 1}
+        got = {tuple(r) for r in decontaminate.overlaps(docs.where("doc_id is not null"), bench).select("doc_id", "item_id", "misses", "first_word").collect()}
+        assert got == want and {x[1] for x in want} == {0, 1}
     assert decontaminate.overlaps(empty, bench).count() == 0
     assert decontaminate.overlaps(corpus, bench.limit(0)).count() == 0
     plan = decontaminate.overlaps(corpus, bench)._jdf.queryExecution().toString()
@@ -260,17 +262,10 @@ def test_leaks_without_seeds(spark):
         for gone in combinations(range(size), 2):
             docs.append((len(docs), " ".join(["before"] + ["changed" if i in gone else f"{stem}{i}" for i in range(size)] + ["after"])))
     docs += [(1000, "here are Only three words. And a single one"), (1001, "only two words"), (1002, "say seven words are more than three yet"), (1003, "seven words are more than two yet"), (1004, "single single"), (1005, None), (1006, ""), (1007, " ".join(f"w{i}" for i in range(11)))]
-    want = set()
-    for d, t in docs:
-        w = words(t)
-        for i, m in items:
-            x = words(m)
-            n, allowed = min(13, len(x)), 0 if len(x) < 8 else 2
-            miss = [min(sum(not (0 <= g + k < len(w) and w[g + k] == x[k]) for k in range(a, a + n)) for a in range(len(x) - n + 1)) for g in range(-len(x) + 1, len(w))]
-            if miss and min(miss) <= allowed:
-                want.add((d, i, min(miss)))
+    docs.append((1008, " ".join(["here w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"] * 40)))  # a passage again and again
+    want = set(leaks(docs, items))
     got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {tuple(r) for r in got.select("doc_id", "item_id", "misses").collect()} == want and len(want) > 150
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "misses", "first_word").collect()} == want and len(want) > 150
 
 
 def test_token_files(spark, corpus, rows, wide, empty):
