@@ -51,14 +51,17 @@ def without_noise(findings: DataFrame) -> DataFrame:
 
 
 def plausible_bits(findings: DataFrame) -> DataFrame:
-    """Nulls sizes that can't be: RSA, DSA and DH below 1024 (512 and 768 are real but weak, and stay), EC of 128, others that are no known size."""
+    """Nulls sizes that can't be: RSA, DSA and DH below 1024, EC of 128, others that are no known size."""
     family, size = F.coalesce(names.family(F.col("profile_id")), F.lit("")), F.col("key_bits")
-    weak = family.isin("RSA", "DSA", "DH") & size.isin(512, 768)
     bad = (family.isin("RSA", "DSA", "DH") & (size < 1024)) | (family.isin("EC", "ECDSA", "ECDH") & (size == 128)) | ~bits.is_valid_bits(size)
-    bad = bad & ~weak
     return findings.withColumn("key_bits", F.when(~F.coalesce(bad, F.lit(False)), size))
 
 
+def json_field(text: Column, name: str) -> Column:
+    """A field of a JSON text's top level, as text."""
+    return F.get_json_object(text, f"$.{name}")
+
+
 def anchored(contracts: DataFrame, native: DataFrame) -> DataFrame:
     """Wrapper contracts whose chain holds a native symbol."""
     hit = contracts.select("name", F.explode("chain").alias("symbol")).join(native.select("symbol").distinct(), "symbol", "left_semi").select("name").distinct()

@@ -22,7 +22,7 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int, include_seeds: bool = False) -> DataFrame:
     """(node, depth) of the nodes within max_depth steps of any seed, each at its least depth. Seeds are at 0 and left out unless asked for."""
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
     front = seen
     for depth in range(1, max_depth + 1):
@@ -62,6 +62,40 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, k:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("at").alias("target"), text.alias("path"), (F.size("path") - 1).alias("length"), "rank")
 
 
+def prefixes(edges: DataFrame, vias: DataFrame, k: int, max_depth: int) -> DataFrame:
+    """(via, path): up to k paths from roots to each via, shortest first, then by text. From one root every node is visited once, by its first path."""
+    edges = cut(edges.select("src", "dst").distinct())
+    text = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    front = cut(roots(edges).select(F.col("node").alias("root"), F.col("node").alias("at"), F.array("node").alias("path")))
+    seen = front
+    for _ in range(max_depth):
+        step = front.join(edges, F.col("at") == F.col("src")).select("root", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        first = step.groupBy("root", "at").agg(F.min_by("path", text).alias("path"))
+        front = cut(first.join(seen.select("root", "at"), ["root", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    w = Window.partitionBy("at").orderBy(F.size("path"), text)
+    own = seen.join(vias.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
+    return own.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).select(F.col("at").alias("via"), "path")
+
+
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
+    """(source, target, path): every path without a repeated node, of max_depth edges at most, also on from a target. Edges are first cut to what lies between, so
+    only paths that can arrive are grown; their number is the result's own."""
+    keep = cut(between(edges, sources, targets, max_depth, max_depth))
+    live = edges.select("src", "dst").distinct().join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    live, found = cut(live), None
+    front = sources.join(keep, "node", "left_semi").select(F.col("node").alias("at"), F.array("node").alias("path"))
+    for _ in range(max_depth):
+        front = cut(front.join(live, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
+        here = front.join(targets.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
+        found = here if found is None else found.unionByName(here)
+        if front.isEmpty():
+            break
+    return found.select(F.get("path", F.lit(0)).alias("source"), F.col("at").alias("target"), "path")
+
+
 def join_prefixes(prefixes: DataFrame, suffixes: DataFrame) -> DataFrame:
     """(via, path): every prefix (root..via) with every suffix (via..target), via once."""
     return prefixes.select("via", F.col("path").alias("__p")).join(suffixes.select("via", F.col("path").alias("__s")), "via").select("via", F.concat("__p", F.slice("__s", 2, F.greatest(F.size("__s") - 1, F.lit(0)))).alias("path"))
@@ -98,6 +132,7 @@ def propagate_contract(callsites: DataFrame, sinks: DataFrame, verdict: Column,
     """(node, caller_of, depth, status) of a contract going up from its sinks along call sites (src calls dst, with the columns that
     `verdict` reads). verdict: true SAT (the site is PRUNED and nothing goes on), false UNSAT (PROPAGATED), null UNKNOWN (SUSPECT). Nodes without a call site
     above are ENTRY. A node is visited once, by its least depth, worst verdict first."""
+    callsites = cut(callsites)
     seen = cut(sinks.select("node").distinct().select("node", F.lit(0).cast("long").alias("depth"), F.lit("SENSITIVE").alias("status")))
     front = seen
     for depth in range(1, max_depth + 1):

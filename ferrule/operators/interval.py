@@ -22,11 +22,21 @@ def owner(points: DataFrame, spans: DataFrame, keys: list[str], point_id: list[s
     return containing(points, spans, keys, at, start, end, width).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def band_nearest(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_at: str, band: int, prefer: Column, tie: list[Column]) -> DataFrame:
-    """The right row within +-band of each left row: preferred ones first, then the nearest, then by tie. Both sides are dealt to bins as wide as the band; a
-    left row looks in three."""
-    a = left.withColumn("__b", F.explode(F.array(*[F.floor(F.col(left_at) / band) + d for d in (-1, 0, 1)])))
-    b = right.withColumn("__b", F.floor(F.col(right_at) / band))
-    near = a.join(b, "__b").where(F.abs(F.col(left_at) - F.col(right_at)) <= band).drop("__b")
-    w = Window.partitionBy(left_id).orderBy(prefer.desc(), F.abs(F.col(left_at) - F.col(right_at)), *tie)
-    return near.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+def band_nearest(left: DataFrame, right: DataFrame, left_id: str, at: str, band: int, key: str, value: str) -> DataFrame:
+    """left (left_id, at, key) with `value` of the right row (value, at, key) within +-band: one with the same key if there is any (`preferred`), then the nearest,
+    then the smallest value. Two as-of passes over bins as wide as the band, one within keys and one over all; a left row looks in three bins, and a bin is scanned
+    once in order: no pair is formed."""
+    bin_ = F.floor(F.col(at) / band).cast("long")
+    near = None
+    for own in (True, False):
+        keys = [key] if own else []
+        held = right.groupBy(*keys, at).agg(F.min(value).alias("__v")).select(*keys, bin_.alias("__b"), F.col(at).alias("__at"), F.struct(F.col(at).alias("at"), F.col("__v").alias("v")).alias("__r"))
+        asked = left.select(left_id, *keys, F.explode(F.array(*[bin_ + d for d in (-1, 0, 1)])).alias("__b"), F.col(at).alias("__at"))
+        w = Window.partitionBy(*keys, "__b").orderBy("__at")
+        both = asked.unionByName(held, allowMissingColumns=True)
+        both = both.withColumns({"__p": F.last("__r", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "__n": F.first("__r", True).over(w.rangeBetween(0, Window.unboundedFollowing))}).where(F.col(left_id).isNotNull() & F.col("__r").isNull())
+        found = both.select(left_id, F.explode(F.array("__p", "__n")).alias("__x"), "__at").where(F.abs(F.col("__x.at") - F.col("__at")) <= band)
+        found = found.select(left_id, F.lit(own).alias("preferred"), F.abs(F.col("__x.at") - F.col("__at")).alias("__d"), F.col("__x.v").alias(value))
+        near = found if near is None else near.unionByName(found)
+    best = near.groupBy(left_id).agg(F.min(F.struct(~F.col("preferred"), "__d", value)).alias("__x"))
+    return left.join(best.select(left_id, (~F.col("__x.col1")).alias("preferred"), F.col(f"__x.{value}").alias(value)), left_id)

@@ -72,3 +72,10 @@ def merge_wrappers(apis: DataFrame, wrappers: DataFrame, key: str, strategy: str
         return apis.unionByName(wrappers, allowMissingColumns=True)
     first, second = (apis, wrappers) if strategy == "api_first" else (wrappers, apis)
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def bind_params(calls: DataFrame, functions: DataFrame, callee: str) -> DataFrame:
+    """calls with a row for each argument that a parameter of the callee takes: name, value. functions: (callee, params)."""
+    met = calls.join(functions.select(callee, "params"), callee)
+    pairs = F.arrays_zip(F.slice("args", F.lit(1), F.size("params")).alias("value"), F.slice("params", F.lit(1), F.size("args")).alias("name"))
+    return met.withColumn("__p", F.explode(pairs)).select(*[c for c in calls.columns if c != "args"], "__p.name", "__p.value").where("value is not null")

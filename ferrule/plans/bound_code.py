@@ -42,7 +42,7 @@ def q_vulnerabilities(spark, sf_dir):
     return code.vulnerabilities(rows, _profiles(spark).withColumn("migrate_to", F.array().cast("array<string>"))).select("p_partkey", "inherent")
 
 
-@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CASE WHEN p_size * 128 < 1024 AND p_size * 128 NOT IN (512, 768) THEN NULL WHEN p_size * 128 IN (512, 768, 1024, 2048, 3072, 4096) THEN p_size::BIGINT * 128 END
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CASE WHEN p_size * 128 IN (1024, 2048, 3072, 4096) THEN p_size::BIGINT * 128 END
 WHEN 1 THEN CASE WHEN p_size * 128 IN (256, 384, 512, 1024, 2048, 3072, 4096) THEN p_size::BIGINT * 128 END ELSE CASE WHEN p_size * 128 IN (128, 256, 384, 512, 1024, 2048, 3072, 4096) THEN p_size::BIGINT * 128 END END AS key_bits FROM part""")
 def q_plausible_bits(spark, sf_dir):
     profile = pick(F.col("p_size") % 3, "ALG.RSA.PKE", "ALG.EC", "ALG.AES")

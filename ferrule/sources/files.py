@@ -11,9 +11,13 @@ MORE_EXTENSIONS = {".rs": "rust", ".js": "javascript", ".ts": "typescript"}
 MAX_BYTES, MAX_INCLUDE_BYTES = 5 * 1024 * 1024, 512 * 1024
 
 
+def dimension(key: F.Column, table: dict[str, str]) -> F.Column:
+    """The table's value of a key, null if there is none: a dimension of a few entries as an expression, without a join."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), key)
+
+
 def language(path: F.Column, more: bool = False) -> F.Column:
-    table = EXTENSIONS | (MORE_EXTENSIONS if more else {})
-    return F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)))
+    return dimension(F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)), EXTENSIONS | (MORE_EXTENSIONS if more else {}))
 
 
 def guard(rows: DataFrame, size: str, most: int) -> DataFrame:
@@ -25,10 +29,15 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True, langs: list[s
     """files(file_path, lang, size_bytes, status, code): extension and language are tested on the path before any content is read, and
     content is kept only for files within the size guard. Bytes that are not UTF-8 are replaced."""
     table = EXTENSIONS | (MORE_EXTENSIONS if more else {})
-    wanted = [e[1:] for e, lang in table.items() if langs is None or lang in langs]
+    either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    wanted = [either(e[1:]) for e, lang in table.items() if langs is None or lang in langs]
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(wanted) + "}").load(folder)
-    rows = guard(raw.withColumn("lang", language(F.col("path"), more)).where(F.col("lang").isNotNull()), "length", MAX_BYTES)
-    return rows.select(F.col("path").alias("file_path"), "lang", F.col("length").alias("size_bytes"), "status", F.when(F.col("status") == "ok", F.make_valid_utf8(F.col("content").cast("string"))).alias("code"))
+    rows = raw.withColumn("lang", language(F.col("path"), more)).where(F.col("lang").isNotNull())
+    # the test of the length is pushed to the reader: the content of larger files is never read, whatever their size
+    code = F.make_valid_utf8(F.col("content").cast("string"))
+    small, large = (guard(rows.where(F.col("length") <= MAX_BYTES), "length", MAX_BYTES), guard(rows.where(F.col("length") > MAX_BYTES), "length", MAX_BYTES))
+    cols = [F.col("path").alias("file_path"), "lang", F.col("length").alias("size_bytes"), "status"]
+    return small.select(*cols, code.alias("code")).unionByName(large.select(*cols, F.lit(None).cast("string").alias("code")))
 
 
 def includes(files: DataFrame) -> DataFrame:

@@ -35,28 +35,3 @@ def test_contamination_by_short_items(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, bound.q_contamination(spark, str(tmp_path)).collect()))
     assert got == sorted((d, i) for d, t in docs for i, m in items if t is not None and m is not None and m in t)
-
-
-def test_whole_graph_queries(spark, tmp_path):
-    """One order per edge of the chain 103 -> 104 -> 106 -> 108 -> 109 -> 111 -> 107, none urgent or dear; 14 events of one user."""
-    def put(name, rows, schema):
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-
-    def run(name):
-        return sorted(map(tuple, bound.QUERIES[name](spark, str(tmp_path)).collect()))
-
-    chain = [103, 104, 106, 108, 109, 111, 107]
-    edges = list(zip(chain, chain[1:]))
-    put("lineitem", [(o, i + 1, 1, x, 1, 1.0) for o, e in enumerate(edges) for i, x in enumerate(e)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity int, l_extendedprice double")
-    put("supplier", [(x,) for x in chain], "s_suppkey long")
-    put("events", [(i, 1, i) for i in range(14)], "event_id long, user_id long, ts long")
-    put("customer", [(1, 1), (2, 1), (3, 2)], "c_custkey long, c_nationkey int")
-    assert run("q_call_graph_whole") == sorted(edges)
-    assert run("q_roots_whole") == [(103,)]
-    assert run("q_reach_fwd_whole") == sorted((x, i) for i, x in enumerate(chain) if i)
-    assert run("q_reach_back_whole") == sorted((x, i) for i, x in enumerate(chain[::-1]))
-    assert run("q_prune_fb_whole") == sorted((x,) for x in chain)
-    assert run("q_entry_points_whole") == [(103, 6)]
-    assert run("q_propagate_contract_whole") == [(107, 0, "SENSITIVE"), (111, 1, "PRUNED")]
-    assert run("q_backward_slice_whole") == [(i, min(i, 12), max(0, i - 12)) for i in range(14)]
-    assert run("q_alias_components_whole") == [("c1", "c1"), ("c2", "c1"), ("c3", "c3"), ("n1", "c1"), ("n2", "c3")]
