@@ -81,14 +81,15 @@ def prefixes(edges: DataFrame, vias: DataFrame, k: int, max_depth: int) -> DataF
 
 
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
-    """(source, target, path): every path without a repeated node, of max_depth edges at most, also on from a target. Edges are first cut to what lies between, so
-    only paths that can arrive are grown; their number is the result's own."""
-    keep = cut(between(edges, sources, targets, max_depth, max_depth))
-    live = edges.select("src", "dst").distinct().join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    live, found = cut(live), None
-    front = sources.join(keep, "node", "left_semi").select(F.col("node").alias("at"), F.array("node").alias("path"))
-    for _ in range(max_depth):
-        front = cut(front.join(live, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
+    """(source, target, path): every path without a repeated node, of max_depth edges at most, also on from a target. A path only grows to nodes from which a target is
+    still within reach, so that what is grown arrives but for repeated nodes; the number of paths is the result's own."""
+    edges = cut(edges.select("src", "dst").distinct())
+    far = closure(reverse(edges), targets, max_depth, include_seeds=True).select(F.col("node").alias("dst"), F.col("depth").alias("left"))
+    live, found = cut(edges.join(far, "dst")), None
+    front = sources.select(F.col("node").alias("at"), F.array("node").alias("path"))
+    for depth in range(1, max_depth + 1):
+        step = front.join(live.where(F.col("left") <= max_depth - depth), F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        front = cut(step.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
         here = front.join(targets.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
         found = here if found is None else found.unionByName(here)
         if front.isEmpty():

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from ferrule.plans import bound, bound_code  # noqa: F401
+from ferrule.plans import bound, bound_code, bound_resolve  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
