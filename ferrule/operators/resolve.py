@@ -22,7 +22,8 @@ def small(df: DataFrame) -> DataFrame:
 
 def import_meets(imports: Column, required: Column) -> Column:
     """Whether a file with these imports meets a rule's: none required, or one that is imported, whole, by its parent package or as a dotted suffix."""
-    met = F.exists(imports, lambda i: F.exists(required, lambda r: (i == r) | i.startswith(F.concat(r, F.lit("."))) | i.startswith(F.concat(r, F.lit("/"))) | i.endswith(F.concat(F.lit("."), r))))
+    dots = lambda c: F.transform(c, lambda x: F.replace(x, F.lit("/"), F.lit(".")))
+    met = F.exists(dots(imports), lambda i: F.exists(dots(required), lambda r: (i == r) | i.startswith(F.concat(r, F.lit("."))) | i.endswith(F.concat(F.lit("."), r))))
     return F.coalesce(F.size(required) == 0, F.lit(True)) | F.coalesce(met, F.lit(False))
 
 

@@ -5,9 +5,10 @@ overloaded operators and generics in expressions are approximations. A file that
 
 from __future__ import annotations
 
+from bisect import bisect_right
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,7 +109,7 @@ def _close(code: str, at: int, left: str, right: str) -> int:
 def clike_facts(code: str, lang: str) -> Iterator[dict]:
     code = _blank(code)
     starts = [0] + [m.end() for m in re.finditer("\n", code)]
-    line_of = lambda at: __import__("bisect").bisect_right(starts, at)
+    line_of = lambda at: bisect_right(starts, at)
     if lang == "go":
         for block in re.finditer(r'import\s*(?:\(([^)]*)\)|((?:\w+\s+)?"[^"]+"))', code):
             for alias, path in re.findall(r'(?:(\w+|\.)\s+)?"([^"]+)"', block[1] or block[2]):
@@ -158,22 +159,31 @@ def clike_facts(code: str, lang: str) -> Iterator[dict]:
         yield {"kind": "literal", "line": line_of(m.start()), "value": m[0], "owner": owner(m.start())}
 
 
-def file_facts(code: str | None, lang: str) -> Iterator[dict]:
+def file_facts(code: str | None, lang: str, readers: dict[str, Callable[[str], Iterator[dict]]] | None = None) -> Iterator[dict]:
+    """Facts of one source. readers: for other languages, or in place of the own ones."""
     try:
-        yield from python_facts(code or "") if lang == "python" else clike_facts(code or "", lang)
+        if readers and lang in readers:
+            yield from readers[lang](code or "")
+        else:
+            yield from python_facts(code or "") if lang == "python" else clike_facts(code or "", lang)
     except (SyntaxError, ValueError, RecursionError) as e:
         yield {"kind": "error", "line": getattr(e, "lineno", 0) or 0, "value": type(e).__name__}
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, readers: dict[str, Callable[[str], Iterator[dict]]] | None = None) -> DataFrame:
     """Tagged fact rows of files(file_path, lang, code); a narrow pass."""
     fields = [(c, pa.list_(pa.string()) if c in ("args", "params") else pa.int32() if c in ("seq", "line", "end_line") else pa.string()) for c in COLUMNS]
 
     def run(batches):
+        held = []
         for batch in batches:
             for path, lang, code in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = [{"file_path": path, "lang": lang, "seq": i, **row} for i, row in enumerate(file_facts(code, lang))]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+                held += [{"file_path": path, "lang": lang, "seq": i, **row} for i, row in enumerate(file_facts(code, lang, readers))]
+                if len(held) >= 5000:
+                    yield pa.RecordBatch.from_pylist(held, schema=pa.schema(fields))
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=pa.schema(fields))
 
     return files.where("code is not null").select("file_path", "lang", "code").mapInArrow(run, SCHEMA)
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import algorithms, bits, expressions, levels, linear, names
-from ..operators import asof, constraint, match, rank, report
+from ..operators import asof, code, constraint, match, rank, report, resolve
 from ..sources import files as source_files
 from ..sources import kb as knowledge
 from ..sources.shared import cut
-from . import extract
+from . import extract, registry
 
 MAX_WRAPPER_LEVELS = 8
 FINDING = ["file_path", "lang", "line", "symbol", "profile_id", "family", "key_bits", "mode", "severity", "reason", "wrapper_chain", "rule_id", "owner_function"]
@@ -21,19 +21,29 @@ def _argument(args: Column, index: Column) -> Column:
     return F.regexp_replace(F.get(args, index), r"^[A-Za-z_]\w*=(?!=)", "")
 
 
-def matched_calls(calls: DataFrame, imports: DataFrame, rules: DataFrame) -> DataFrame:
-    """calls with their best rule: names meet on the last segment, aliases resolved; the longest rule symbol wins, then list order. Functions of the
-    tree itself are told apart later, by their names."""
+def matched_calls(calls: DataFrame, imports: DataFrame, rules: DataFrame, by_import: bool = True) -> DataFrame:
+    """calls with their best rule: names meet on the last segment, aliases resolved; the rule's imports, if it has any, must be met by the file; the longest rule symbol
+    wins, then list order. Functions of the tree itself are told apart later, by their names."""
     aliases = imports.select("file_path", "alias", "target").dropDuplicates(["file_path", "alias"])
     named = match.resolve_alias(calls, aliases, "file_path", "symbol")
-    r = rules.select(F.col("lang").alias("__lang"), F.col("symbol").alias("rule_symbol"), F.col("api_id").alias("rule_id"), F.col("profile_id").alias("rule_profile"), "bits_arg", "bits_unit", "arg_kind", "category", "ord")
-    met = match.suffix_join(named, F.broadcast(r), "resolved", "rule_symbol").where(F.col("lang") == F.col("__lang"))
+    required = F.col("imports") if by_import and "imports" in rules.columns else F.array().cast("array<string>")
+    r = rules.select(F.col("lang").alias("__lang"), F.col("symbol").alias("rule_symbol"), F.col("api_id").alias("rule_id"), F.col("profile_id").alias("rule_profile"), "bits_arg", "bits_unit", "arg_kind", "category", "ord", required.alias("rule_imports"))
+    met = match.suffix_join(named, resolve.small(r), "resolved", "rule_symbol").where(F.col("lang") == F.col("__lang"))
     # a bare tail says nothing: a rule of two segments must meet two
     enough = (~F.contains("rule_symbol", F.lit("."))) | F.col("resolved").endswith(F.concat(F.lit("."), F.col("rule_symbol"))) | (F.col("resolved") == F.col("rule_symbol"))
-    best = rank.best(met.where(enough), ["call_id"], [F.length("rule_symbol").desc(), F.col("ord")])
+    met = met.where(enough)
+    # only files that have a match are asked what they import
+    have = imports.join(met.select("file_path").distinct(), "file_path", "left_semi").groupBy("file_path").agg(F.collect_set("target").alias("__have"))
+    met = met.join(have, "file_path", "left").where(resolve.import_meets(F.coalesce("__have", F.array().cast("array<string>")), F.col("rule_imports"))).drop("__have", "rule_imports")
+    best = rank.best(met, ["call_id"], [F.length("rule_symbol").desc(), F.col("ord")])
     return best.where(~names.is_random(F.col("rule_profile"))).drop("__lang")
 
 
+def quick_scan(spark: SparkSession, folder: str, recursive: bool = True, langs: list[str] | None = None) -> DataFrame:
+    """The calls of a source tree, without any rule."""
+    return extract.facts(cut(extract.extract(source_files.scan(spark, folder, recursive, langs))))["calls"]
+
+
 def _sizes(calls: DataFrame, assignments: DataFrame, arg: str) -> DataFrame:
     """calls with `arg_value` (whole number) and `arg_text` after looking variables up: the last assignment in the function at or before the line, then the
     file's, then its last of all."""
@@ -118,20 +128,64 @@ def dedup(findings: DataFrame) -> DataFrame:
     return rank.best(findings, ["file_path", "line", "symbol", "profile_id"], order)
 
 
-def scan(spark: SparkSession, folder: str, recursive: bool = True, langs: list[str] | None = None, dims: dict[str, DataFrame] | None = None, whitelist: list[str] = ()) -> dict[str, DataFrame]:
-    """files, findings, by_file and summary of a source tree. Files that can't be read are rows with a status."""
+def policed(findings: DataFrame, params: DataFrame, free: DataFrame) -> DataFrame:
+    """findings under an organisation's policy: what a parameter (key_bits, mode) of the profile, else of its parents, doesn't allow gets the policy's severity if that is worse; profiles that
+    the whitelist frees get `low`."""
+    of = findings.withColumn("__i", F.monotonically_increasing_id())
+    of = cut(of)
+    parts = F.split("profile_id", r"\.")
+    up = of.where("profile_id is not null").select("__i", "key_bits", "mode", F.posexplode(F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("up", "key"))
+    rules = params.select("key", "param", "allow", "disallow", F.col("severity").alias("__s"))
+    met = up.join(resolve.small(rules), "key")
+    value = F.when(F.col("param") == "key_bits", F.col("key_bits").cast("string")).when(F.col("param").isin("mode", "block_mode"), F.col("mode"))
+    bad = value.isNotNull() & (((F.size("allow") > 0) & ~F.array_contains("allow", value)) | F.array_contains("disallow", value))
+    own = rank.best(met, ["__i", "param"], [F.col("up")]).where(F.coalesce(bad, F.lit(False)))
+    worst = own.groupBy("__i").agg(F.max_by("__s", F.struct(levels.rank(F.col("__s")), "param")).alias("__s"), F.min("param").alias("__param"))
+    freed = free.select(F.col("key").alias("profile_id")).distinct().withColumn("__free", F.lit(True))
+    got = of.join(worst, "__i", "left").join(resolve.small(freed), "profile_id", "left")
+    worse = F.coalesce(levels.rank(F.col("__s")) > levels.rank(F.col("severity")), F.lit(False))
+    severity = F.when(F.col("__free"), "low").when(worse, F.col("__s")).otherwise(F.col("severity"))
+    reason = F.when(F.col("__free"), "freed by policy").when(F.col("__param").isNotNull(), F.concat(F.lit("policy: "), "__param")).otherwise(F.col("reason"))
+    return got.withColumn("severity", severity).withColumn("reason", reason).select(findings.columns)
+
+
+def _contract_rules(contracts: DataFrame) -> DataFrame:
+    """Wrapper contracts (api_id, lang, symbol, profile_id) as rules without a size argument; they come after all others."""
+    none = F.lit("none")
+    return contracts.select("api_id", "lang", "symbol", "profile_id", F.lit(-1).alias("bits_arg"), F.lit("bits").alias("bits_unit"), none.alias("arg_kind"), F.lit("wrapper").alias("category"), F.lit(1 << 30).alias("ord"), F.array().cast("array<string>").alias("imports"))
+
+
+def scan(spark: SparkSession, folder: str, recursive: bool = True, langs: list[str] | None = None, dims: dict[str, DataFrame] | None = None, whitelist: list[str] = (), policy: tuple[DataFrame, DataFrame] | None = None, contracts: DataFrame | None = None, skip: list[str] = (), validators: list = (), progress=None, readers: dict | None = None) -> dict[str, DataFrame]:
+    """files, findings, by_file and summary of a source tree. Files that can't be read are rows with a status. policy: params and whitelist of kb.load_policy; contracts: of
+    kb.load_wrappers; skip: registry.SWITCHES; validators: functions of the findings to a condition; progress(done, of, step); readers: of further languages."""
     dims = dims or knowledge.builtin(spark)
+    off = registry.skipped(spark, skip)
+    tell = progress or (lambda done, of, step: None)
+    rules = dims["rules"] if "imports" in dims["rules"].columns else dims["rules"].withColumn("imports", F.array().cast("array<string>"))
+    if contracts is not None:
+        rules = rules.unionByName(_contract_rules(contracts))
     files = cut(source_files.scan(spark, folder, recursive, langs))
-    rows = cut(extract.extract(files))
+    tell(1, 4, "files")
+    rows = cut(extract.extract(files, readers))
     f = extract.facts(rows)
-    calls = cut(matched_calls(f["calls"], f["imports"], dims["rules"]))
+    tell(2, 4, "facts")
+    calls = cut(matched_calls(f["calls"], f["imports"], rules, "imports" not in off))
     direct = cut(with_initialisers(direct_findings(calls, f["assignments"]), f["calls"]))
     own = f["functions"].select("file_path", F.col("name").alias("symbol")).distinct()
     direct = direct.join(own, ["file_path", "symbol"], "left_anti")
-    wrapped = wrapper_findings(direct, f["calls"], f["functions"])
-    cols = ["file_path", "lang", "line", "seq", "symbol", "owner_function", "call_id", "profile_id", "key_bits", "mode", "wrapper_chain", "rule_id"]
-    every = cut(direct.select(*cols).unionByName(wrapped.select(*cols)))
-    findings = cut(dedup(rated(every, dims, whitelist)).select(*FINDING))
+    tell(3, 4, "matches")
+    cols = ["file_path", "lang", "line", "seq", "symbol", "owner_function", "call_id", "profile_id", "key_bits", "mode", "wrapper_chain", "rule_id", "receiver"]
+    every = direct.select(*cols)
+    if "wrappers" not in off:
+        wrapped = wrapper_findings(direct, f["calls"], f["functions"])
+        every = every.unionByName(wrapped.select(*cols[:-1]), allowMissingColumns=True)
+    every = rated(code.plausible_bits(cut(every)), dims, whitelist)
+    if "noise" not in off:
+        every = code.without_noise(every)
+    if policy is not None:
+        every = policed(every, *policy)
+    findings = cut(registry.valid(dedup(every).select(*FINDING), validators))
+    tell(4, 4, "findings")
     broken = f["errors"].select("file_path").distinct().withColumn("__bad", F.lit(True))
     status = files.join(broken, "file_path", "left").withColumn("status", F.when(F.col("__bad"), "error").otherwise(F.col("status"))).select("file_path", "lang", "size_bytes", "status")
     return {"files": status, "findings": findings, "by_file": report.by_severity(findings, ["file_path"]), "summary": report.folder_summary(status, findings), "facts": rows}

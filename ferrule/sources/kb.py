@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RULE_SCHEMA = "api_id string, lang string, symbol string, profile_id string, bits_arg int, bits_unit string, arg_kind string, category string, ord int"
@@ -41,6 +41,13 @@ RULES = [
     ("go", "md5.New", "ALG.MD5", -1, "bits", "none", "hash"),
     ("go", "rand.Read", "UTIL.RNG", 0, "bytes", "key", "random"),
 ]
+# What a file must import for a built-in rule, by language and the rule's first word; without an entry nothing.
+RULE_IMPORTS = {
+    ("python", "RSA"): ["Crypto", "Cryptodome"], ("python", "DSA"): ["Crypto", "Cryptodome"], ("python", "AES"): ["Crypto", "Cryptodome"], ("python", "DES"): ["Crypto", "Cryptodome"], ("python", "DES3"): ["Crypto", "Cryptodome"],
+    ("python", "rsa"): ["cryptography"], ("python", "ec"): ["cryptography"], ("python", "hashlib"): ["hashlib"], ("python", "os"): ["os"],
+    ("java", "KeyGenerator"): ["javax.crypto"], ("java", "Cipher"): ["javax.crypto"], ("java", "KeyPairGenerator"): ["java.security"], ("java", "MessageDigest"): ["java.security"],
+    ("go", "rsa"): ["crypto/rsa"], ("go", "aes"): ["crypto/aes"], ("go", "des"): ["crypto/des"], ("go", "md5"): ["crypto/md5"], ("go", "rand"): ["crypto/rand"],
+}
 # Built-in profiles (id, family, quantum security, its bits, reason, recommendation).
 PROFILES = [
     ("ALG.RSA", "RSA", "broken", 0, "factored by Shor's algorithm", "ML-KEM or ML-DSA"),
@@ -74,8 +81,8 @@ CONSTRAINTS = [
 
 def builtin(spark: SparkSession) -> dict[str, DataFrame]:
     """The dimensions that ship with the library; tens of rows."""
-    rules = [(f"{r[0]}.{r[1]}", *r, i) for i, r in enumerate(RULES)]
-    return {"rules": spark.createDataFrame(rules, RULE_SCHEMA), "profiles": spark.createDataFrame(PROFILES, PROFILE_SCHEMA), "constraints": spark.createDataFrame(CONSTRAINTS, CONSTRAINT_SCHEMA)}
+    rules = [(f"{r[0]}.{r[1]}", *r, i, RULE_IMPORTS.get((r[0], r[1].split(".")[0]), [])) for i, r in enumerate(RULES)]
+    return {"rules": spark.createDataFrame(rules, RULE_SCHEMA + ", imports array<string>"), "profiles": spark.createDataFrame(PROFILES, PROFILE_SCHEMA), "constraints": spark.createDataFrame(CONSTRAINTS, CONSTRAINT_SCHEMA)}
 
 
 def strip_comments(text: str) -> str:
@@ -95,7 +102,7 @@ def load_mappings(spark: SparkSession, glob: str, lang: str) -> DataFrame:
     index = F.coalesce("m.semantic.key.index", named)
     flat = rows.select("f", "i", F.col("m.api_id").alias("api_id"), F.col("m.function").alias("symbol"), F.col("m.semantic.profile_id").alias("profile_id"), index.alias("bits_arg"), F.col("m.semantic.key.unit").alias("bits_unit"), F.col("m.semantic.operation").alias("category"))
     merged = flat.groupBy("symbol").agg(F.min(at).alias("__at"), *[pick(c).alias(c) for c in ("api_id", "profile_id", "bits_arg", "bits_unit", "category")])
-    ordered = merged.withColumn("ord", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("__at")))
+    ordered = merged.withColumn("ord", F.row_number().over(Window.orderBy("__at")))
     return ordered.select("api_id", F.lit(lang).alias("lang"), "symbol", F.coalesce("profile_id", F.lit("ALG.DYNAMIC")).alias("profile_id"), F.coalesce("bits_arg", F.lit(-1)).alias("bits_arg"), F.coalesce("bits_unit", F.lit("bits")).alias("bits_unit"), F.when(F.col("bits_arg") >= 0, "size").otherwise("none").alias("arg_kind"), "category", "ord")
 
 
@@ -117,6 +124,8 @@ def load_wrappers(spark: SparkSession, manual: str | None, auto: str | None) ->
     """Wrapper contracts (api_id, lang, symbol, profile_id, source) of two folders of JSON files; manual ones win for one api_id."""
     schema = "api_id string, language string, function string, semantic struct<profile_id string>, derived_meta struct<source string, confidence string>"
     parts = [spark.read.option("multiLine", True).schema(schema).json(p).withColumn("source", F.lit(s)).withColumn("__o", F.lit(o)) for o, (s, p) in enumerate((("manual", manual), ("auto", auto))) if p]
+    if not parts:
+        return spark.createDataFrame([], "api_id string, lang string, symbol string, profile_id string, source string")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     best = rows.groupBy("api_id").agg(F.min_by(F.struct("language", "function", "semantic", "source"), "__o").alias("x"))
     return best.select("api_id", F.col("x.language").alias("lang"), F.col("x.function").alias("symbol"), F.col("x.semantic.profile_id").alias("profile_id"), "x.source")

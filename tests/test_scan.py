@@ -108,3 +108,61 @@ def test_literals_are_whole():
     text = "k" * 900
     for lang, code in (("python", f'x = "{text}"\n'), ("java", f'class A {{ String x = "{text}"; }}')):
         assert any(f["kind"] == "literal" and text in f["value"] for f in extract.file_facts(code, lang))
+
+
+def test_a_decoy_tail_is_no_finding(spark, tmp_path):
+    (tmp_path / "decoy.py").write_text("import mine.RSA\nfrom other import AES\nk = mine.RSA.generate(1024)\nc = AES.new(k)\n")
+    (tmp_path / "real.PY").write_text("from Crypto.PublicKey import RSA\nk = RSA.generate(1024)\n")
+    found = lambda **k: sorted((os.path.basename(r.file_path), r.line) for r in scan.scan(spark, str(tmp_path), **k)["findings"].collect())
+    assert found() == [("real.PY", 2)]
+    assert len(found(skip=["imports"])) == 3
+
+
+def test_policy_contracts_switches_and_validators(spark, tmp_path):
+    (tmp_path / "a.py").write_text("import hashlib\nimport lib\nfrom Crypto.PublicKey import RSA\n\ndef make(bits):\n    return RSA.generate(bits)\n\na = RSA.generate(4096)\nb = hashlib.md5(a)\nc = lib.seal(a)\nd = make(2048)\n")
+    policy = kb.load_policy(spark, '{"org_policy": {"enforce_params": {"ALG.RSA": {"key_bits": {"allow": [3072], "severity_if_not_allow": "critical"}}}, "transitional_whitelist": {"algorithms": ["ALG.MD5"]}}}')
+    contracts = spark.createDataFrame([("w", "python", "lib.seal", "ALG.3DES", "manual")], "api_id string, lang string, symbol string, profile_id string, source string")
+    said = []
+    got = {r.line: r for r in scan.scan(spark, str(tmp_path), policy=policy, contracts=contracts, progress=lambda *x: said.append(x))["findings"].collect()}
+    assert (got[8].severity, got[8].reason) == ("critical", "policy: key_bits") and got[9].severity == "low" and got[10].profile_id == "ALG.3DES" and 11 in got
+    assert [x[0] for x in said] == [1, 2, 3, 4]
+    lines = lambda **k: {r.line for r in scan.scan(spark, str(tmp_path), **k)["findings"].collect()}
+    assert 11 not in lines(skip=["wrappers"])
+    assert lines(validators=[lambda f: f["profile_id"] == "ALG.MD5"]) == {9}
+    with pytest.raises(ValueError):
+        lines(skip=["anything"])
+
+
+def test_quick_scan_analyzers_and_readers(spark, tmp_path):
+    from ferrule.plans import registry
+
+    (tmp_path / "a.py").write_text("print(len('x'))\n")
+    assert sorted(r.symbol for r in scan.quick_scan(spark, str(tmp_path)).collect()) == ["len", "print"]
+
+    class Prints:
+        name = "prints"
+
+        def analyze(self, facts):
+            return facts["calls"].where("symbol = 'print'").select("file_path", "line", "symbol")
+
+    facts = extract.facts(extract.extract(files.scan(spark, str(tmp_path))))
+    seen = []
+    rows = registry.run([Prints(), Prints()], facts, lambda *x: seen.append(x)).collect()
+    assert [(r.line, r.symbol, r.analyzer, r.severity) for r in rows] == [(1, "print", "prints", None)] * 2 and seen == [(1, 2, "prints"), (2, 2, "prints")]
+    reader = {"python": lambda code: iter([{"kind": "error", "line": 7, "value": "own"}])}
+    assert [(r.line, r.value) for r in extract.extract(files.scan(spark, str(tmp_path)), reader).select("line", "value").collect()] == [(7, "own")]
+    assert set(registry.MATCHERS) == {"precise", "legacy", "suffix"}
+
+
+def test_large_files_are_not_read(spark, tmp_path):
+    (tmp_path / "big.c").write_bytes(b"x" * (files.MAX_BYTES + 1))
+    (tmp_path / "small.H").write_text("int a;")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", files.MAX_BYTES)
+    try:
+        assert sorted((os.path.basename(r.file_path), r.status, r.code) for r in files.scan(spark, str(tmp_path)).collect()) == [("big.c", "skipped", None), ("small.H", "ok", "int a;")]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_no_wrapper_folders(spark):
+    assert kb.load_wrappers(spark, None, None).count() == 0
