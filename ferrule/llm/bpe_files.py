@@ -1,14 +1,14 @@
 """Token ids in Parquet files: one list column beside plain metadata columns.
 
 Texts are encoded with a byte-level BPE of the tokenizers library. Files hold rows in ascending doc_id order, one range of
-doc_ids a task; row groups and pages have set sizes, lists are dictionary encoded (or delta encoded: encoding="delta"), and Parquet's
+doc_ids and text hashes a task; row groups and pages have set sizes, lists are dictionary encoded (or delta encoded: encoding="delta"), and Parquet's
 column and page indexes let a reader fetch the metadata, or the tokens of a few doc_ids, without the rest.
 
 Texts are cut in pre-tokens by the vocabulary's own pattern, in numpy over code points, and only a step's distinct pre-tokens
 that were not seen before are given to the tokenizer, which treats pre-tokens independently: the ids are those of the whole text.
 
-Cases: a null text is empty; each document gets end_id (also an empty one); equal doc_ids lie side by side in text order; null
-doc_ids come first; an empty table gives no rows; special tokens' strings in a text are ordinary text; bytes that are
+Cases: a null text is empty; each document gets end_id (also an empty one); equal doc_ids lie side by side in the order of
+their texts' hashes, in several files if there are many; null doc_ids come first; an empty table gives no rows; special tokens' strings in a text are ordinary text; bytes that are
 no UTF-8 count as U+FFFD; extra columns are left out.
 """
 
@@ -178,7 +178,8 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2, encoding: s
     order, and place the row's in its file."""
     parts = partitions(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    ranged = ranged.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def run(batches):
         cache = _state.setdefault(f"cache {path}", PretokenIds())  # a worker's, over its tasks
@@ -198,6 +199,13 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2, encoding: s
     writer.parquet(out)
 
 
+def read_tokens(spark, out: str, least: int, most: int) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the documents with least <= doc_id <= most, in order. The bounds are pushed to the reader: files and row groups go by their statistics,
+    pages by the column index, so that other documents' lists aren't decoded."""
+    rows = spark.read.parquet(out).where(F.col("doc_id").between(least, most))
+    return rows.orderBy("doc_id", "part", "place").select("doc_id", "n_tokens", "ids")
+
+
 def read_ids(spark, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the files' rows; start: the ids of all documents before. Sums over whole files
     need the metadata columns only, and a row for each file."""

@@ -59,7 +59,7 @@ def _sets_of_text(column: pa.Array):
 
 def _sets_of_blob(column: pa.Array):
     buf, off = buffers(column)
-    for lo, hi in steps(off, 8 << 20):
+    for lo, hi in steps(off, 2 << 20):
         yield lo, hi, buf[off[lo] : off[hi]].view(np.uint64) if off[hi] > off[lo] else np.zeros(0, np.uint64), (off[lo : hi + 1] - off[lo]) // 8
 
 
