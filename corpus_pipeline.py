@@ -36,7 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keyed = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "keyed")
     groups = ngram_jaccard.jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
     groups = materialize(groups, "groups")
-    several = groups.where(F.col("__row") != F.col("component_id")).select("component_id").distinct()
+    # written first: a join of two plain tables can split a large group's rows, one with an aggregation's output can't
+    several = materialize(groups.where(F.col("__row") != F.col("component_id")).select("component_id").distinct(), "several")
     members = materialize(groups.join(several, "component_id", "left_semi").join(keyed.select("__row", "doc_id"), "__row"), "members")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x")).select(F.col("x.__row").alias("__row"))
     return _without(keyed, members.select("__row").join(first, "__row", "left_anti"), ["__row"]).select(*COLUMNS)
