@@ -419,10 +419,8 @@ def _dealt(shared: DataFrame, labels: DataFrame | None, counts: DataFrame, turn:
     named = materialize(named, "named")
     each = named.groupBy("tok", "component").agg(F.count("*").alias("c")).groupBy("tok")
     mixed = each.agg(F.count("*").alias("kinds"), F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("m")).where("kinds > 1")
-    # written first: a join of two plain tables can split a hot shingle's rows, one with an aggregation's output can't
-    mixed = materialize(mixed.select("tok", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("m.component").alias("main")), "mixed")
-    rows = materialize(named.join(mixed, "tok"), "rest")
-    discard(named, mixed)
+    rows = materialize(named.join(mixed.select("tok", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("m.component").alias("main")), "tok"), "rest")
+    discard(named)
     if rows.isEmpty():
         discard(rows)
         return None
