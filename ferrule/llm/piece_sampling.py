@@ -110,13 +110,17 @@ class Vocabulary:
             base = self.row.take(state)
             go = np.flatnonzero((at < stop.take(start)) & (base >= 0))
             start, base, at = start.take(go), base.take(go), at.take(go)
+        del seg, stop  # what edges no longer need is let go of at once: a worker's peak is here
         key = np.concatenate(keys)
+        del keys
         order = np.argsort(key)
         key = key.take(order)
         ids = np.concatenate(ids).take(order)
+        del order
         w = np.where(key & 1, self.floor, self.logw.take(ids))
         dst = (key >> 8).astype(np.int32)
         src = dst - ((key & 255) >> 1).astype(np.int32)
+        del key
         first = np.searchsorted(dst, np.arange(n + segs + 1, dtype=np.int32))
         alpha, share = np.zeros(n + segs), np.empty(len(src))
         root = off[:-1] + np.arange(segs)
@@ -132,6 +136,7 @@ class Vocabulary:
             total = np.add.reduceat(x, cut)
             alpha[node] = top + np.log(total)
             share[e] = x / np.repeat(total, per)
+        del w, alpha, first
         lead = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if n else np.zeros(0, np.int64)
         per = np.diff(np.append(lead, len(dst)))
         for j in range(1, int(per.max()) if n else 0):  # summed within each node, edge by edge
