@@ -63,15 +63,20 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, k:
 
 
 def prefixes(edges: DataFrame, vias: DataFrame, k: int, max_depth: int) -> DataFrame:
-    """(via, path): up to k paths from roots to each via, shortest first, then by text. From one root every node is visited once, by its first path."""
+    """(via, path): up to k paths from roots to each via, shortest first, then by text. From one root every node is visited once, by its first path.
+    A root that isn't among the k first of a node isn't among those of the nodes after it, so that k roots a node are all that is kept, and a node that has them is left."""
     edges = cut(edges.select("src", "dst").distinct())
     text = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
     front = cut(roots(edges).select(F.col("node").alias("root"), F.col("node").alias("at"), F.array("node").alias("path")))
     seen = front
-    for _ in range(max_depth):
-        step = front.join(edges, F.col("at") == F.col("src")).select("root", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+    for depth in range(1, max_depth + 1):
+        full = seen.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        live = edges.join(full.select(F.col("at").alias("dst")), "dst", "left_anti") if depth > 1 else edges
+        step = front.join(live, F.col("at") == F.col("src")).select("root", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
         first = step.groupBy("root", "at").agg(F.min_by("path", text).alias("path"))
-        front = cut(first.join(seen.select("root", "at"), ["root", "at"], "left_anti"))
+        new = first.join(seen.select("root", "at"), ["root", "at"], "left_anti")
+        w = Window.partitionBy("at").orderBy(text)
+        front = cut(new.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

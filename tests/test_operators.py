@@ -1,5 +1,7 @@
 """Operators on small tables: ties, unknowns, cycles, streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,45 @@ def test_cycles_end(spark):
     assert rows(graph.shortest_paths(e, one, four, 2, 8), "path", "length") == [("1>2>3>4", 3)]
 
 
+def _first_paths(edges, k, depth):
+    """Every root's first path to each node, level by level, without any bound; then the k first of each node."""
+    starts = {a for a, _ in edges} - {b for _, b in edges}
+    seen = {(r, r): (r,) for r in starts}
+    front = dict(seen)
+    for _ in range(depth):
+        step = {}
+        for (r, at), p in front.items():
+            for a, b in edges:
+                if a == at and (r, b) not in seen:
+                    step[r, b] = min(step.get((r, b), (*p, b)), (*p, b), key=">".join)
+        seen |= step
+        front = step
+    out = {}
+    for (_, at), p in seen.items():
+        out.setdefault(at, []).append(p)
+    return {at: sorted(ps, key=lambda p: (len(p), ">".join(p)))[:k] for at, ps in out.items()}
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_prefixes_are_the_first_of_all(spark, k):
+    rng = random.Random(k)
+    edges = {(f"c{rng.randrange(12)}", f"s{rng.randrange(15)}") for _ in range(25)} | {(f"s{rng.randrange(15)}", f"s{rng.randrange(15)}") for _ in range(25)} | {(f"s{i}", f"n{i % 3}") for i in range(15)}
+    vias = {b for _, b in edges} | {"c1", "nowhere"}
+    got = {}
+    for via, path in rows(graph.prefixes(spark.createDataFrame(sorted(edges), "src string, dst string"), spark.createDataFrame([(v,) for v in vias], "node string"), k, 4), "via", "path"):
+        got.setdefault(via, set()).add(tuple(path))
+    assert got == {v: set(p) for v, p in _first_paths(edges, k, 4).items() if v in vias}
+
+
+def test_prefixes_keep_k_roots_of_a_node(spark, monkeypatch):
+    kept, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := write(df), kept.append(out))[0])
+    edges = [(f"c{i}", "s0") for i in range(40)] + [("s0", f"s{j}") for j in range(1, 21)] + [(f"s{j}", "n0") for j in range(1, 21)]
+    got = rows(graph.prefixes(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("n0",)], "node string"), 2, 3), "via", "path")
+    assert got == [("n0", ["c0", "s0", "s10", "n0"]), ("n0", ["c10", "s0", "s10", "n0"])]
+    assert max(t.count() for t in kept[2:]) <= 2 * 20
+
+
 def test_aliases_stop_at_cycles(spark):
     d = spark.createDataFrame([("f", "a", "b"), ("f", "b", "16"), ("f", "x", "y"), ("f", "y", "x")], "scope string, name string, value string")
     got = dict((n, v) for n, v in rows(graph.expand_alias(d), "name", "value"))
