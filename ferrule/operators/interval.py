@@ -24,19 +24,20 @@ def owner(points: DataFrame, spans: DataFrame, keys: list[str], point_id: list[s
 
 def band_nearest(left: DataFrame, right: DataFrame, left_id: str, at: str, band: int, key: str, value: str) -> DataFrame:
     """left (left_id, at, key) with `value` of the right row (value, at, key) within +-band: one with the same key if there is any (`preferred`), then the nearest,
-    then the smallest value. Two as-of passes over bins as wide as the band, one within keys and one over all; a left row looks in three bins, and a bin is scanned
-    once in order: no pair is formed."""
+    then the smallest value. Two as-of passes over bins as wide as the band, one within keys and one over all; a place is looked up once, however many rows are there, in
+    three bins, and a bin is scanned once in each direction: no pair is formed, and no frame ends at the bin's end, which Spark would read anew for each row."""
     bin_ = F.floor(F.col(at) / band).cast("long")
-    near = None
+    out = left
     for own in (True, False):
         keys = [key] if own else []
+        x = "__own" if own else "__all"
         held = right.groupBy(*keys, at).agg(F.min(value).alias("__v")).select(*keys, bin_.alias("__b"), F.col(at).alias("__at"), F.struct(F.col(at).alias("at"), F.col("__v").alias("v")).alias("__r"))
-        asked = left.select(left_id, *keys, F.explode(F.array(*[bin_ + d for d in (-1, 0, 1)])).alias("__b"), F.col(at).alias("__at"))
-        w = Window.partitionBy(*keys, "__b").orderBy("__at")
+        asked = left.select(*keys, at).distinct().select(*keys, F.explode(F.array(*[bin_ + d for d in (-1, 0, 1)])).alias("__b"), F.col(at).alias("__at"))
         both = asked.unionByName(held, allowMissingColumns=True)
-        both = both.withColumns({"__p": F.last("__r", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "__n": F.first("__r", True).over(w.rangeBetween(0, Window.unboundedFollowing))}).where(F.col(left_id).isNotNull() & F.col("__r").isNull())
-        found = both.select(left_id, F.explode(F.array("__p", "__n")).alias("__x"), "__at").where(F.abs(F.col("__x.at") - F.col("__at")) <= band)
-        found = found.select(left_id, F.lit(own).alias("preferred"), F.abs(F.col("__x.at") - F.col("__at")).alias("__d"), F.col("__x.v").alias(value))
-        near = found if near is None else near.unionByName(found)
-    best = near.groupBy(left_id).agg(F.min(F.struct(~F.col("preferred"), "__d", value)).alias("__x"))
-    return left.join(best.select(left_id, (~F.col("__x.col1")).alias("preferred"), F.col(f"__x.{value}").alias(value)), left_id)
+        w = Window.partitionBy(*keys, "__b").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn("__p", F.last("__r", True).over(w.orderBy("__at"))).withColumn("__n", F.last("__r", True).over(w.orderBy(F.col("__at").desc()))).where(F.col("__r").isNull())
+        found = both.select(*keys, F.explode(F.array("__p", "__n")).alias("__x"), "__at").where(F.abs(F.col("__x.at") - F.col("__at")) <= band)
+        best = found.groupBy(*keys, F.col("__at").alias(at)).agg(F.min(F.struct(F.abs(F.col("__x.at") - F.col("__at")).alias("d"), F.col("__x.v").alias("v"))).alias(x))
+        out = out.join(best, [*keys, at], "left")
+    near = F.coalesce("__own", "__all")
+    return out.where(near.isNotNull()).select(*left.columns, F.col("__own").isNotNull().alias("preferred"), near["v"].alias(value))

@@ -42,6 +42,24 @@ def test_cycles_end(spark):
     assert rows(graph.shortest_paths(e, one, four, 2, 8), "path", "length") == [("1>2>3>4", 3)]
 
 
+def test_band_nearest_reads_no_frame_anew(spark):
+    rng = random.Random(9)
+    at = [-28801, -28800, -1, 0, 5, 28799, 28800, 57600] + [rng.randrange(-90_000, 90_000) for _ in range(60)]
+    left = [(i, rng.choice(at), rng.randrange(5)) for i in range(150)] + [(900, None, 1), (901, 10**7, 1)]
+    right = [(rng.randrange(1000), rng.choice(at), rng.randrange(6)) for _ in range(80)] + [(7, None, 1)]
+    a, b = spark.createDataFrame(left, "id long, at long, key long"), spark.createDataFrame(right, "value long, at long, key long")
+    got = interval.band_nearest(a, b, "id", "at", 9000, "key", "value")
+    expect = []
+    for i, t, k in left:
+        near = [(k2 != k, abs(t2 - t), v) for v, t2, k2 in right if t is not None and t2 is not None and abs(t2 - t) <= 9000]
+        if near:
+            expect.append((i, t, k, not min(near)[0], min(near)[2]))
+    assert rows(got, "id", "at", "key", "preferred", "value") == sorted(expect, key=repr)
+    # Spark reads a frame that ends at its partition's end anew for each row: time by the square of a bin
+    plan = got._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def _first_paths(edges, k, depth):
     """Every root's first path to each node, level by level, without any bound; then the k first of each node."""
     starts = {a for a, _ in edges} - {b for _, b in edges}
