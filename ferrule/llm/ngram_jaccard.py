@@ -14,7 +14,8 @@ A document's set is its distinct 5-word shingles. Documents link at Jaccard >= 0
 4. Group counts (shared shingles fall into 512 groups) are points of a bulk-loaded R-tree. The sum of the coordinates' minima bounds
    the overlap of a set with a node and with a point; what survives is verified on the whole shared sets.
    Rounds: each set's likeliest partner in another component is verified and links contract components, first among neighbours in
-   the tree's order, then over whole trees, each until a round links nothing. What is left over between components is verified pair by pair.
+   the tree's order, until a round links little, then over whole trees, until a round links nothing. There a round is only over sets for which the round before
+   has left any partner in another component. What is left over between components is verified pair by pair.
 
 Groups above BLOCK sets are dealt to several tasks: in the first rounds by a hash that changes with the round, later so that each set outside the
 group's largest component meets every block; two sets of one component are never compared. Shingles and sets are known by 64-bit hashes.
@@ -38,6 +39,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 GROUPS, LEAF, SLOTS = 512, 32, 1 << 20
 #: In the first rounds, so many neighbours in a tree's order are looked at, in the groups of a set's first so many shared prefix shingles.
 NEAR, PLACES = 32, 8
+#: The first rounds end with one that links less than this part of what the largest has linked: whole trees find the rest in fewer rounds.
+FEW = 100
 #: Sets of a group that meet in one task.
 BLOCK = 256
 #: Rows of two numbers that may be broadcast; beyond it the join shuffles.
@@ -341,16 +344,19 @@ def _found(g, t):
 
 
 def _best(g, t):
-    """(a, b, likeness) of the likeliest partner that _found has for each set and group."""
+    """(a, b, likeness) of the likeliest partner that _found has for each set and group, and (a, null, null) of every set that is some set's partner."""
     fp, n = t["fp"].to_numpy(), t["n"].to_numpy()
-    out = []
+    out, met = [], np.zeros(len(fp), bool)
     for i, at, bound in _found(g, t):
         like = bound / (n[i] + n[at])
         k = like.argmax()
         out.append((fp[i], fp[at[k]], like[k]))
+        met[at] = True
     if out:
         a, b, like = (np.array(x) for x in zip(*out))
         yield _likely(a, b, like)
+        a = np.unique(fp[met])
+        yield _likely(a, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.float64()))
 
 
 def _every(g, t):
@@ -438,32 +444,40 @@ def _linked(sets: DataFrame) -> DataFrame:
     shared = materialize(prefix.join(prefix.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1").select("tok"), "tok", "left_semi"), "shared")
     discard(prefix)
     counts = materialize(_counts(sets.join(shared.select("fp").distinct(), "fp", "left_semi")), "counts")
-    labels, turn, rounds, left = None, 0, [(_nearest, True), (_best, False)], True
+    labels, turn, rounds, left, most, within = None, 0, [(_nearest, True), (_best, False)], True, 0, shared
     while rounds and left:
         function, first = rounds[0]
-        rows, links = _dealt(shared, labels, counts, turn if first else None), None
+        rows, links = _dealt(within, labels, counts, turn if first else None), None
         turn += 1
         if rows is not None:
             likely = _by_group(rows, function, "a long, b long, likeness double")
-            forest = materialize(likely.groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), "forest")
-            discard(rows)
+            if not first:  # components only grow: who has no possible partner now has none later
+                likely = materialize(likely, "likely")
+                met = materialize(within.join(likely.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi"), "met")
+                if within is not shared:
+                    discard(within)
+                within = met
+            forest = materialize(likely.where("b is not null").groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), "forest")
+            discard(rows, None if first else likely)
             left = first or not forest.isEmpty()
             links = materialize(_verify(forest, sets), "links") if not forest.isEmpty() else None
             discard(forest)
         else:
             left = first
-        if links is None or links.isEmpty():  # look over whole trees, then at each pair
-            rounds.pop(0)
-        else:
+        n = links.count() if links is not None else 0
+        if n:
             labels = _relabel(labels, links)
         discard(links)
-    rows = _dealt(shared, labels, counts, None) if left else None
+        most = max(most, n)
+        if n <= (most // FEW if first else 0):  # look over whole trees, then at each pair
+            rounds.pop(0)
+    rows = _dealt(within, labels, counts, None) if left else None
     if rows is not None:
         links = materialize(_verify(_by_group(rows, _every, "a long, b long").distinct(), sets), "links")
         discard(rows)
         labels = labels if links.isEmpty() else _relabel(labels, links)
         discard(links)
-    discard(shared, counts)
+    discard(shared, counts, None if within is shared else within)
     return labels if labels is not None else sets.sparkSession.createDataFrame([], "fp long, component long")
 
 

@@ -43,6 +43,25 @@ def test_jaccard_components(corpus, rows, wide, empty):
     assert ngram_jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_later_rounds_are_over_sets_with_partners_left(spark, monkeypatch):
+    part = lambda *key: " ".join(f"w{key}{i}".replace(" ", "") for i in range(40))
+    texts = []
+    for t in range(12):  # all their shingles are shared, none links
+        a, b, c = part(t, 0), part(t, 1), part(t, 2)
+        texts += [f"{a} {b}", f"{b} {c}", f"{a} {c}"]
+    far = len(texts)
+    for t in range(3):  # near copies
+        words = (part("n", t) + " " + part("m", t)).split()
+        texts += [" ".join([*words[:j], f"x{j}", *words[j + 1 :]]) for j in (20, 45, 70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, deal = [], ngram_jaccard._dealt
+    monkeypatch.setattr(ngram_jaccard, "PLACES", 0)  # nothing is found in the first rounds
+    monkeypatch.setattr(ngram_jaccard, "_dealt", lambda shared, labels, counts, turn: (turn is None and seen.append(shared.select("fp").distinct().count()), deal(shared, labels, counts, turn))[1])
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(docs).collect()}
+    assert got == {i: i if i < far else far + (i - far) // 3 * 3 for i in range(len(texts))}
+    assert seen[0] == len(texts) and len(seen) > 1 and max(seen[1:]) <= len(texts) - far
+
+
 def test_tree_bound_keeps_every_link():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
